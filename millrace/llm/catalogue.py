@@ -7,10 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, splitting
+from millrace.llm import bpe, mixing, packing, splitting
 from millrace.sources.tables import read_table
 
 
+def p4_selection(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.select_shards(read_table(spark, folder, "shards"), read_table(spark, folder, "stage_lanes"))
+
+
+def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(read_table(spark, folder, "shards"), read_table(spark, folder, "stage_lanes"), read_table(spark, folder, "microbatch_ledger"))
+
+
+def p4_recorded_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.recorded_shares(read_table(spark, folder, "microbatch_ledger"))
+
+
+def p5_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read_table(spark, folder, "documents_tok"))
+
+
+def p5_gain(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.gain(read_table(spark, folder, "documents_tok"), read_table(spark, folder, "packed_sequences"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, folder, "documents", "doc_id", "text"))
 
@@ -33,9 +53,24 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_documents(read_table(spark, folder, "documents", "doc_id", "text"))
 
 
+#: A lane's plain name, as SQL over a column {0}.
+_LANE = """CASE regexp_replace(lower(trim({0})), '[\\s_-]+', '_', 'g') WHEN 'general' THEN 'general_web' WHEN 'reasoning' THEN 'math_reasoning' WHEN '' THEN NULL ELSE regexp_replace(lower(trim({0})), '[\\s_-]+', '_', 'g') END"""
+
+ORACLES = {
+    "p4_recorded_shares": f"""
+        WITH steps AS (SELECT run_id, branch_id, global_step, rank, id, curriculum_stage AS stage, {_LANE.format("mixture_lane")} AS lane,
+                              coalesce(list_sum(list_transform(token_span_ids, lambda s: greatest(s.end_idx - s.start_idx, 0))), 0) AS n FROM microbatch_ledger),
+             once AS (SELECT *, row_number() OVER (PARTITION BY run_id, branch_id, global_step, rank ORDER BY id DESC) AS k FROM steps),
+             tokens AS (SELECT stage, lane, CAST(sum(n) AS BIGINT) AS recorded_tokens FROM once WHERE k = 1 GROUP BY stage, lane)
+        SELECT stage, lane, recorded_tokens, recorded_tokens / sum(recorded_tokens) OVER (PARTITION BY stage) AS recorded_share FROM tokens""",
+    "p5_gain": None,
+}
+ORACLES = {k: v for k, v in ORACLES.items() if v}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_ids, p7_round_trip, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p4_selection, p4_shares, p4_recorded_shares, p5_sequences, p5_gain, p7_ids, p7_round_trip, p9_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
