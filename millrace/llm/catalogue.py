@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, mixing, packing, splitting
+from millrace.llm import bpe, leakage, mixing, packing, splitting
 from millrace.sources.tables import read_table
 
 
@@ -45,6 +45,10 @@ def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return wanted.join(decoded, "doc_id").join(sizes, "doc_id").select("doc_id", "n_ids", (F.col("hash") == F.col("back")).alias("same"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.find_leaks(read_table(spark, folder, "documents", "doc_id", "text"), read_table(spark, folder, "eval_items", "item_id", "text")).select("doc_id", "item_id")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.oversized(read_table(spark, folder, "documents", "doc_id", "text")).select("doc_id")
 
@@ -69,7 +73,7 @@ ORACLES = {k: v for k, v in ORACLES.items() if v}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_selection, p4_shares, p4_recorded_shares, p5_sequences, p5_gain, p7_ids, p7_round_trip, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p4_selection, p4_shares, p4_recorded_shares, p5_sequences, p5_gain, p7_ids, p7_round_trip, p8_found, p9_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
