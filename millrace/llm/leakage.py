@@ -44,11 +44,14 @@ ITEM_BLOCK = 5_000
 ITEM_CHARS_MOST = 20_000_000
 SHARD_WORDS = 2_000_000
 
-_INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿￹-￻]")
+#: Code points without width, as first and last.
+_UNSEEN = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFF9, 0xFFFB))
+_INVISIBLE = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _UNSEEN) + "]")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
 _INLINE = re.compile(r"</?(?:a|abbr|b|big|code|em|font|i|mark|s|small|span|strong|sub|sup|tt|u)(?:\s[^<>]*)?>", re.I)
 #: Letters, digits and the combining marks that belong to them; no underscore, danda or other punctuation.
-_WORD = re.compile("[^\\W_]+(?:[̀-ͯऀ-ॣ०-࿿]|[^\\W_])*")
+_MARKS = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x300, 0x36F), (0x900, 0x963), (0x966, 0xDFF)))
+_WORD = re.compile(f"[^\\W_]+(?:[{_MARKS}]|[^\\W_])*")
 _ASCII_WORD = re.compile("[a-z0-9]+")
 
 
