@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, leakage, mixing, packing, personal, quality, splitting
+from millrace.llm import bpe, language, leakage, mixing, packing, personal, quality, splitting
 from millrace.sources.tables import read_table
 
 
@@ -19,6 +19,18 @@ def p1_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.statistics(read_table(spark, folder, "documents", "doc_id", "text"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.mislabelled(read_table(spark, folder, "documents", "doc_id", "text", "lang", "shard_id"), read_table(spark, folder, "shards", "shard_id", "language_script", "ingested_at"))
+
+
+def p2_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(read_table(spark, folder, "documents", "doc_id", "text", "lang"))
+
+
+def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return language.segments(read_table(spark, folder, "documents", "doc_id", "text", "lang"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return personal.find_personal(read_table(spark, folder, "documents", "doc_id", "text"))
 
@@ -89,7 +101,7 @@ ORACLES = {k: v for k, v in ORACLES.items() if v}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p3_found, p3_redacted, p4_selection, p4_shares, p4_recorded_shares, p5_sequences, p5_gain, p7_ids, p7_round_trip, p8_found, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_languages, p2_segments, p3_found, p3_redacted, p4_selection, p4_shares, p4_recorded_shares, p5_sequences, p5_gain, p7_ids, p7_round_trip, p8_found, p9_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
