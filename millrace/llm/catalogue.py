@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, language, leakage, mixing, packing, personal, quality, splitting
+from millrace.llm import bpe, language, leakage, mixing, packing, personal, quality, splitting, subjects
 from millrace.sources.tables import read_table
 
 
@@ -59,6 +59,22 @@ def p5_gain(spark: SparkSession, folder: str) -> DataFrame:
     return packing.gain(read_table(spark, folder, "documents_tok"), read_table(spark, folder, "packed_sequences"))
 
 
+def _subject_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (
+        read_table(spark, folder, "documents", "doc_id", "text", "source", "metadata"),
+        read_table(spark, folder, "subjects", "subject", "description"),
+        read_table(spark, folder, "subject_labels", "doc_id", "subject"),
+    )
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.classify(*_subject_tables(spark, folder)).select("doc_id", "subject")
+
+
+def p6_composition(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.composition(*_subject_tables(spark, folder))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, folder, "documents", "doc_id", "text"))
 
@@ -101,7 +117,7 @@ ORACLES = {k: v for k, v in ORACLES.items() if v}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_languages, p2_segments, p3_found, p3_redacted, p4_selection, p4_shares, p4_recorded_shares, p5_sequences, p5_gain, p7_ids, p7_round_trip, p8_found, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_languages, p2_segments, p3_found, p3_redacted, p4_selection, p4_shares, p4_recorded_shares, p5_sequences, p5_gain, p6_found, p6_composition, p7_ids, p7_round_trip, p8_found, p9_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
