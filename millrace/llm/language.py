@@ -88,22 +88,23 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     rows = [*rows, *((lang, " ".join(ws)) for lang, ws in quality.COMMON.items() for _ in range(2))]
     memory: dict[str, np.ndarray] = {}
 
-    def counts(text: str) -> np.ndarray:
-        v = np.zeros(DIMENSIONS, np.float32)
+    def count(text: str, into: np.ndarray) -> None:
         for w in tokens(text):
             if is_word(w):
                 if w not in memory:
                     memory[w] = np.array(ngrams(w))
-                np.add.at(v, memory[w], 1) if len(memory[w]) > 64 else v.__setitem__(memory[w], v[memory[w]] + 1)
-        return v
+                np.add.at(into, memory[w], 1)
 
-    matrix = np.stack([counts(t) for _, t in rows])
+    # Filled in place: the matrix is the largest thing the driver holds.
+    matrix = np.zeros((len(rows), DIMENSIONS), np.float32)
+    for k, (_, text) in enumerate(rows):
+        count(text, matrix[k])
     labels = np.array([label for label, _ in rows])
-    keep = matrix.sum(1) > 0
-    matrix, labels = matrix[keep], labels[keep]
-    idf = np.log((1 + len(matrix)) / (1 + (matrix > 0).sum(0))).astype(np.float32) + 0.1
+    labels[matrix.sum(1) == 0] = NONE
+    seen = np.array([np.count_nonzero(matrix[:, k : k + 512], 0) for k in range(0, DIMENSIONS, 512)]).reshape(-1)
+    idf = np.log((1 + len(matrix)) / (1 + seen)).astype(np.float32) + np.float32(0.1)
     matrix *= idf
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True) + 1e-9
+    matrix /= np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None] + np.float32(1e-9)
     names = sorted(set(labels))
     own = labels.copy()
     for _ in range(3):
