@@ -5,18 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from millrace.sources.tables import read_table
+from millrace.plans import curation, execution
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "documents", "source").groupBy("source").agg(F.count("*").alias("documents"))
+    """Kept documents by domain, after the whole funnel."""
+    return curation.domain_pools(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return curation.QUERIES | execution.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return curation.ORACLES | execution.ORACLES
