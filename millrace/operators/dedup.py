@@ -69,7 +69,7 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
 
 def bands_for(threshold: float, permutations: int = PERMUTATIONS) -> tuple[int, int]:
     """Bands and rows that make false positives and false negatives least together."""
-    grid = np.linspace(0, 1, 201)
+    grid = (np.arange(4000) + 0.5) / 4000
     best = None
     for rows in range(1, permutations + 1):
         bands = permutations // rows
