@@ -5,6 +5,8 @@ A null text counts as an empty one wherever a number or a decision is asked for.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,11 @@ def _text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def once(column: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(column)`` with ``column`` evaluated once a row, however often ``of`` uses it."""
+    return F.element_at(F.transform(F.array(column), of), 1)
+
+
 def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(_text(text), F.lit(pattern))
 
@@ -102,13 +109,16 @@ def passes_task_filter(text: Column) -> Column:
 
 def quality_score(text: Column) -> Column:
     """0.10 below 20 words, else 0.30 plus educational words and word length."""
-    w = words(text)
-    n = F.size(w)
-    marks = F.size(F.array_intersect(F.transform(w, F.lower), F.array(*map(F.lit, EDU_KEYWORDS))))
-    letters = F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    complexity = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (letters / n - 3.5) / 3.0))
-    score = F.lit(0.30) + F.lit(0.40) * F.least(F.lit(1.0), marks / F.lit(5.0)) + F.lit(0.30) * complexity
-    return F.when(n < 20, F.lit(0.10)).otherwise(F.least(F.lit(1.0), score))
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        marks = F.size(F.array_intersect(F.transform(w, F.lower), F.array(*map(F.lit, EDU_KEYWORDS))))
+        letters = F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+        complexity = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (letters / n - 3.5) / 3.0))
+        score = F.lit(0.30) + F.lit(0.40) * F.least(F.lit(1.0), marks / F.lit(5.0)) + F.lit(0.30) * complexity
+        return F.when(n < 20, F.lit(0.10)).otherwise(F.least(F.lit(1.0), score))
+
+    return once(words(text), of)
 
 
 def redact(text: Column) -> Column:
@@ -144,7 +154,7 @@ def shingles(text: Column, n: int = SHINGLE_WORDS) -> Column:
         return F.when(F.size(w) < n, w).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))
 
     # Bound as a lambda's variable, the words are found once and not anew for each run.
-    return F.array_distinct(F.element_at(F.transform(F.array(found), runs), 1))
+    return F.array_distinct(once(found, runs))
 
 
 def strip_prompt(decoded: Column, prompt: Column) -> Column:

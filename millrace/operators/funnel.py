@@ -31,29 +31,23 @@ def curate(documents: DataFrame, near: bool = False, full_normalize: bool = True
     else:
         rows = rows.withColumn("near", F.lit(False))
     plain = normalize(F.col("text")) if full_normalize else X.clean_space(F.col("text"))
-    rows = rows.withColumn("plain", plain)
-    stage = (
-        F.when(~F.col("english"), STAGES[0])
-        .when(F.coalesce("copy", F.lit(False)), STAGES[1])
-        .when(F.coalesce("near", F.lit(False)), STAGES[2])
-        .when(~X.passes_heuristics(F.col("plain")), STAGES[3])
-        .when(~passes_quality(F.col("plain")), STAGES[4])
-        .when(~X.passes_task_filter(F.col("plain")), STAGES[5])
-    )
-    rows = rows.select("doc_id", "plain", stage.alias("drop_stage"))
-    clean = X.redact(F.col("plain"))
-    kept = F.col("drop_stage").isNull()
-    out = rows.withColumn("clean", F.when(kept, clean))
-    return out.select(
-        "doc_id",
-        "drop_stage",
-        F.col("clean").alias("text"),
-        F.when(kept, X.domain(F.col("clean"))["domain"]).alias("domain"),
-        F.when(kept, X.domain(F.col("clean"))["confidence"]).alias("confidence"),
-        F.when(kept, F.size(X.words(F.col("clean")))).alias("word_count"),
-        F.when(kept, F.length("clean")).alias("char_count"),
-        (kept & (F.col("clean") != F.col("plain"))).alias("redacted"),
-    )
+    # Each text is cleaned once and tested once: the tests are bound to it, so that no filter that is
+    # pushed down repeats the cleaning for each of them.
+    left = F.col("english") & ~F.coalesce("copy", F.lit(False)) & ~F.coalesce("near", F.lit(False))
+
+    def tests(p: Column) -> Column:
+        failed = F.when(~X.passes_heuristics(p), STAGES[3]).when(~passes_quality(p), STAGES[4]).when(~X.passes_task_filter(p), STAGES[5])
+        return X.once(failed, lambda stage: F.struct(stage.alias("stage"), F.when(stage.isNull(), p).alias("plain")))
+
+    told = rows.select("doc_id", "english", "copy", "near", F.when(left, X.once(plain, tests)).alias("t"))
+    stage = F.when(~F.col("english"), STAGES[0]).when(F.coalesce("copy", F.lit(False)), STAGES[1]).when(F.coalesce("near", F.lit(False)), STAGES[2]).otherwise(F.col("t.stage"))
+
+    def finished(c: Column) -> Column:
+        return F.struct(c.alias("text"), X.domain(c).alias("d"), F.size(X.words(c)).alias("word_count"), F.length(c).alias("char_count"))
+
+    kept = F.col("t.plain").isNotNull()
+    done = told.select("doc_id", stage.alias("drop_stage"), F.when(kept, X.once(X.redact(F.col("t.plain")), finished)).alias("c"), F.col("t.plain").alias("plain"))
+    return done.select("doc_id", "drop_stage", "c.text", "c.d.domain", "c.d.confidence", "c.word_count", "c.char_count", F.coalesce(F.col("c.text") != F.col("plain"), F.lit(False)).alias("redacted"))
 
 
 def summary(curated: DataFrame) -> DataFrame:
@@ -79,5 +73,6 @@ def summary(curated: DataFrame) -> DataFrame:
 
 def domain_pools(curated: DataFrame) -> DataFrame:
     """Kept documents by domain and the pool file each goes to."""
-    kept = curated.where(F.col("drop_stage").isNull())
-    return kept.groupBy("domain", F.lower(F.split("domain", " ")[0]).alias("pool")).agg(F.count("*").alias("documents"))
+    # The condition is on the counts: one on the rows would be pushed down and have the tests run twice.
+    counts = curated.groupBy("domain").agg(F.count_if(F.col("drop_stage").isNull()).alias("documents")).where("documents > 0")
+    return counts.select("domain", F.lower(F.split("domain", " ")[0]).alias("pool"), "documents")

@@ -42,8 +42,7 @@ def heuristic_tests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def edu_score(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _documents(spark, folder).select("doc_id", X.clean_space(F.col("text")).alias("t"))
-    return rows.select("doc_id", F.round(X.quality_score(F.col("t")), 9).alias("score"))
+    return _documents(spark, folder).select("doc_id", F.round(X.quality_score(X.clean_space(F.col("text"))), 9).alias("score"))
 
 
 def domain_tag(spark: SparkSession, folder: str) -> DataFrame:
