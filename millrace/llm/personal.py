@@ -242,6 +242,8 @@ _BEFORE = re.compile(
     r"[ \n]*(?:(?:#|//|--|\*) )?$"
 )
 _WEAK = re.compile(r"(?:\bM\.?|\b[Ii]t was|\bI am|\b[Ii] asked|\bcolleague|[—–] ?|\b[Tt]hanks,?)[ \n]*(?:(?:#|//|--|\*) )?$")
+#: A dash that begins a line is a signature's.
+_DASHED = re.compile(r"(?:^|\n)(?:(?:#|//|--|\*) )?— ?$")
 _AFTER = re.compile(
     r"^(?:, (?:aged|\d{2}|born|âgée?|de \d+ años)\b|, ?\n? ?\d{1,3} years old|\s(?:signed|could not attend|war nicht|hat unterschrieben|était absente?|a signé|assinou|firmó|was absent|was born|ने हस्ताक्षर|सही केली)\b|\s?[(<\[]?\s?$)"
 )
@@ -287,14 +289,13 @@ def names(text: str, mails: list[tuple[int, int, str]]) -> list[tuple[int, int,
     for m in _RUN.finditer(text):
         a, b = m.span()
         pieces = [(a + p.start(), a + p.end()) for p in _PIECE.finditer(m.group())]
-        start = 0
-        for k, (s, e) in enumerate(pieces[:-1]):
-            if text[s:e].rstrip(".") in _TITLES:
-                start = k + 1
-        titled = start > 0
+        titles = [k for k, (s, e) in enumerate(pieces[:-1]) if text[s:e].rstrip(".") in _TITLES]
         own = None
-        if titled:
-            own = _grammar(text, pieces[start:])
+        if titles:
+            own = _grammar(text, pieces[titles[-1] + 1 :])
+            # Another name may stand before the title.
+            if titles[0] >= 2 and _BEFORE.search(text[max(0, a - 34) : a]) and (first := _grammar(text, pieces[: titles[0]])):
+                found.append((*first, "name"))
         elif pieces[0][1] - pieces[0][0] > 1:
             before = text[max(0, a - 34) : a]
             cue = _BEFORE.search(before)
@@ -305,7 +306,7 @@ def names(text: str, mails: list[tuple[int, int, str]]) -> list[tuple[int, int,
                     kind = next((w for w in _WEAK_AFTER if w.lower() in weak.group().lower()), None)
                     if kind and not _WEAK_AFTER[kind].search(after):
                         own = None
-                    elif not kind and not re.match(r"\s*(?:\n|<|$|[,.|(])|\s+[A-ZÀ-Þ]|\s+[^\x00-\x7f]", after):
+                    elif not kind and not _DASHED.search(before) and not re.match(r"\s*(?:\n|<|$|[,.|(])|\s+[A-ZÀ-Þ]|\s+[^\x00-\x7f]", after):
                         own = None
         if own is None and len(pieces) >= 2:
             # A name at the end of the run, by what follows it.

@@ -58,7 +58,8 @@ _INNER = re.compile("[.!?।…]\\s")
 _SPACES = re.compile(r"(?<=\S) {2,}(?=\S)")
 _RULE = re.compile(r"^[\s|:+=-]+$")
 _VOWEL = re.compile("[aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ]", re.I)
-_MOJIBAKE = re.compile("Ã.|â€|Â.|ï¿½|�")
+#: Characters that UTF-8 read as another encoding turns into.
+_MOJIBAKE = re.compile("[" + "".join(map(chr, (0xA2, 0xA8, 0xA9, 0xAB, 0xAC, 0xBB, 0xBD, 0xBF, 0xC2, 0xC3, 0xE2, 0xEF, 0x153, 0x201A, 0x201C, 0x201E, 0x20AC, 0x2122, 0xFFFD))) + "]")
 #: Marks that part the items of a list written in one line, the strongest first.
 _PARTS = (" · ", " | ", " » ", " • ", " / ", "; ", ", ")
 
@@ -143,7 +144,7 @@ def is_gibberish(words: list[str], text: str, letters: int, signs: int) -> bool:
         return False
     if letters < 0.45 * solid and (len(_ODD.findall(text)) > 0.15 * solid or not _FORMULA.search(text)):
         return True
-    if len(_MOJIBAKE.findall(text)) * 4 > solid:
+    if len(_MOJIBAKE.findall(text)) > 0.6 * solid:
         return True
     latin = [w for w in words if w.isascii()]
     size = sum(map(len, latin))
