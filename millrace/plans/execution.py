@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.functions import text as X
 from millrace.operators import batches, evidence, ledger, mixture, packing, selection, shards, tokenizer
@@ -268,7 +267,6 @@ def performance(spark, folder):
 
 
 def stream_first_copies(spark, folder):
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("ingested_at", T.TimestampNTZType())])
     schema = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "ingested_at").schema
     found = streams.first_copies(_stream(spark, folder, "documents", schema).withColumn("ingested_at", F.col("ingested_at").cast("timestamp")))
     told = streams.to_memory(found.select(F.md5(F.coalesce("text", F.lit(""))).alias("digest")), "stream_first_copies")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from millrace.session import CHECKPOINT_SETTING
 from millrace.sources.sinks import append_ledger
 
 
@@ -45,6 +46,11 @@ def append_stream(spark: SparkSession, stream: DataFrame, ledger: str, order: li
 
 def to_memory(frame: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All available rows of a stream through to a table in memory; for tests and small results."""
-    query = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    import uuid
+
+    writer = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    shared = frame.sparkSession.conf.get(CHECKPOINT_SETTING, None)
+    if shared:
+        writer = writer.option("checkpointLocation", f"{shared}/streams/{name}-{uuid.uuid4().hex}")
+    writer.start().awaitTermination()
     return frame.sparkSession.table(name)
