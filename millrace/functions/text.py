@@ -54,8 +54,9 @@ def once(column: Column, of: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(column), of), 1)
 
 
-def count_of(text: Column, pattern: str) -> Column:
-    return F.regexp_count(_text(text), F.lit(pattern))
+def count_of(text: Column, char_class: str) -> Column:
+    """How many characters of a text are of a class. Taking runs of them out at once makes far fewer matches than counting one by one."""
+    return F.length(_text(text)) - F.length(F.regexp_replace(_text(text), f"{char_class}+", ""))
 
 
 def words(text: Column) -> Column:
