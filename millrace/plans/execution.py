@@ -267,10 +267,9 @@ def performance(spark, folder):
 
 
 def stream_first_copies(spark, folder):
-    schema = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "ingested_at").schema
-    found = streams.first_copies(_stream(spark, folder, "documents", schema).withColumn("ingested_at", F.col("ingested_at").cast("timestamp")))
-    told = streams.to_memory(found.select(F.md5(F.coalesce("text", F.lit(""))).alias("digest")), "stream_first_copies")
-    return told.select("digest")
+    schema = read_table(spark, folder, "documents", "text").schema
+    found = streams.first_copies(_stream(spark, folder, "documents", schema))
+    return streams.to_table(found.select(F.md5(F.coalesce("text", F.lit(""))).alias("digest")), "stream_first_copies")
 
 
 def stream_lane_counts(spark, folder):

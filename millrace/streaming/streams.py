@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,14 +13,23 @@ from pyspark.sql.streaming import StreamingQuery
 from millrace.session import CHECKPOINT_SETTING
 from millrace.sources.sinks import append_ledger
 
+_PROVIDER_SETTING = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.parquet", files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def first_copies(stream: DataFrame, text_col: str = "text", time_col: str = "ingested_at", delay: str = "1 day") -> DataFrame:
-    """Rows of a stream whose text was not met within the watermark's delay; copies that come later pass again."""
-    return stream.withColumn("_h", F.md5(F.coalesce(F.col(text_col), F.lit("")))).withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["_h"]).drop("_h")
+def first_copies(stream: DataFrame, text_col: str = "text", time_col: str = "ingested_at", delay: str | None = None) -> DataFrame:
+    """Rows of a stream whose text was not met before, whatever their order and files; each text's hash stays in the state.
+
+    With a ``delay`` the state is bounded at the cost of rows: those later than
+    the watermark are lost, and copies that come after the delay pass again.
+    """
+    hashed = stream.withColumn("_h", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    first = hashed.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["_h"]) if delay else hashed.dropDuplicates(["_h"])
+    return first.drop("_h")
 
 
 def lane_counts(stream: DataFrame, lane_col: str, time_col: str, window: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
@@ -44,10 +56,27 @@ def append_stream(spark: SparkSession, stream: DataFrame, ledger: str, order: li
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def to_table(frame: DataFrame, name: str) -> DataFrame:
+    """All available rows of a stream through to files in the shared folder, read as a table; the driver holds none of them.
+
+    The state is kept in RocksDB, beside the heap, as it may hold a hash of every text.
+    """
+    spark = frame.sparkSession
+    shared = spark.conf.get(CHECKPOINT_SETTING, None) or tempfile.mkdtemp(prefix="millrace-streams-")
+    place = f"{shared}/streams/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_PROVIDER_SETTING)
+    spark.conf.set(_PROVIDER_SETTING, _ROCKSDB)
+    try:
+        # A query takes the session's settings when it starts.
+        query = frame.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_PROVIDER_SETTING, before)
+    query.awaitTermination()
+    return spark.read.schema(frame.schema).parquet(f"{place}/rows")
+
+
 def to_memory(frame: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All available rows of a stream through to a table in memory; for tests and small results."""
-    import uuid
-
     writer = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
     shared = frame.sparkSession.conf.get(CHECKPOINT_SETTING, None)
     if shared:

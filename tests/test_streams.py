@@ -1,5 +1,8 @@
 """Streams give what the same operators give on the whole table."""
 
+import hashlib
+
+from millrace.plans import execution
 from millrace.streaming import streams
 
 
@@ -22,3 +25,15 @@ def test_stream_appends_once(spark, tmp_path):
         streams.append_stream(spark, streams.read_stream(spark, source, rows.schema), target, ["global_step"], checkpoint).awaitTermination()
     held = spark.read.parquet(target)
     assert held.count() == 12 and held.selectExpr("max(id)").first()[0] == 12
+
+
+def test_late_rows_of_later_files_are_kept(spark, tmp_path):
+    """The first file is weeks ahead of the others, whose rows are all late; one text comes in every file."""
+    path = str(tmp_path / "documents.parquet")
+    for part in range(4):
+        at = "2025-02-15" if part == 0 else "2025-01-06"
+        rows = [(part * 10 + k, f"text {part} {k}" if k else "everywhere", f"{at} 00:00:00") for k in range(5)]
+        spark.createDataFrame(rows, "doc_id long, text string, at string").selectExpr("doc_id", "text", "to_timestamp(at) AS ingested_at").coalesce(1).write.mode("append").parquet(path)
+    texts = {"everywhere"} | {f"text {part} {k}" for part in range(4) for k in range(1, 5)}
+    got = [r.digest for r in execution.stream_first_copies(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(hashlib.md5(t.encode()).hexdigest() for t in texts)
