@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from millrace.functions import text as X
 from millrace.functions.normalize import normalize
 from millrace.functions.scoring import passes_quality
-from millrace.operators.dedup import exact_classes, near_duplicates
+from millrace.operators.dedup import THRESHOLD, exact_classes, near_duplicates
 
 STAGES = ("language_filter", "exact_dedup", "near_dedup_minhash", "heuristic_quality", "fineweb_ml_quality", "syntax_task_filter")
 
 
-def curate(documents: DataFrame, near: bool = False, full_normalize: bool = True, threshold: float = 0.9) -> DataFrame:
+def curate(documents: DataFrame, near: bool = False, full_normalize: bool = True, threshold: float = THRESHOLD) -> DataFrame:
     """Each document with ``drop_stage`` (null if kept) and, if kept, its text and metadata.
 
     The tests are applied in order and the first that fails counts. Copies are

@@ -1,5 +1,7 @@
 """Deduplication and the funnel against brute force on small tables."""
 
+import random
+
 import pytest
 
 from millrace.operators import dedup, funnel
@@ -40,6 +42,35 @@ def test_near_duplicates_match_greedy_order(spark):
     assert got[2] == (False, 1) and got[4] == (True, 4) and 5 not in got and 6 not in got
 
 
+def test_near_duplicates_are_those_of_all_pairs(spark):
+    """Pairs just above and below 0.8, chains, and different rows that share much."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        base = [f"w{k}x{j}" for j in range(84)]
+        rows += [(4 * k, " ".join(base)), (4 * k + 1, " ".join(base[:-8] + [f"o{k}x{j}" for j in range(8)])), (4 * k + 2, " ".join(base[:-9] + [f"p{k}x{j}" for j in range(9)])), (4 * k + 3, " ".join(base[8:] + [f"q{k}x{j}" for j in range(8)]))]
+    common = [f"c{j}" for j in range(70)]
+    rows += [(1000 + k, " ".join(common + [f"z{k}x{j}" for j in range(rng.randint(5, 30))])) for k in range(60)]
+    rows += [(2000 + k, text.upper() + "!") for k, (_, text) in enumerate(rows[:20])]
+    sets = {i: {tuple(t.lower().strip("!").split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    kept, want = [], {}
+    for i in sorted(sets):
+        owner = next((k for k in kept if len(sets[k] & sets[i]) / len(sets[k] | sets[i]) >= 0.8), None)
+        want[i] = (owner is None, i if owner is None else owner)
+        if owner is None:
+            kept.append(i)
+    got = {r.doc_id: (r.kept, r.class_id) for r in dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == want
+    assert want[1] == (False, 0) and want[2] == (True, 2)
+
+
+def test_the_full_funnel_drops_at_the_default_threshold(spark):
+    rows = [(k, " ".join(f"{WORDS.split()[j % 22]}{k if j % 3 else ''}{chr(97 + j % 26)}" for j in range(84))) for k in range(8)]
+    rows += [(100 + k, " ".join(t.split()[:-8] + [f"other{j}" for j in range(8)])) for k, t in rows]
+    got = {r.doc_id: r.drop_stage for r in funnel.curate(docs(spark, rows), near=True).collect()}
+    assert all((got[i] == "near_dedup_minhash") == (i >= 100) for i in got), got
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert dedup.near_duplicates(docs(spark, [])).count() == 0
 
