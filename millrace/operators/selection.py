@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import checkpointed
+
 # ---- fixed values ---------------------------------------------------------
 THRESHOLD, RESCUE_FLOOR = 0.70, 0.50
 PROTECTED = ("indic",)
@@ -30,21 +32,22 @@ def decide(candidates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return told.select("candidate_id", status.alias("status"), "reason", "score", "lane", (F.col("reason") == "protected_floor_rescued").alias("rescued_by_protected_floor"))
 
 
-def with_quota(candidates: DataFrame, quotas: DataFrame, buckets: int = 1000) -> DataFrame:
+def with_quota(candidates: DataFrame, quotas: DataFrame) -> DataFrame:
     """``candidates`` with ``lane_quota_full``: whether as many of its lane go before it, best score first, then by id.
 
-    Scores fall into ``buckets`` ranges; counts of the ranges tell how many go
-    before each, and only within a range of a lane are rows ranked. Equal scores
-    of a hot lane are parted further by a hash of the id, the second key.
+    Ranks are exact and go over two levels that keep this order: rows are dealt
+    into sorted ranges of lane, score and id, however many of them share a lane
+    or a score, and each range is told how many rows of the lane go before it.
     """
-    salt = F.pmod(F.xxhash64("candidate_id"), F.lit(64))
-    keyed = candidates.withColumn("_range", F.floor(F.coalesce("score", F.lit(0.0)) * buckets)).withColumn("_salt", salt)
-    counts = keyed.groupBy("lane", "_range", "_salt").agg(F.count("*").alias("_n"))
-    # Ranges of a lane: at most buckets times 64 rows.
-    ahead = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.partitionBy("lane").orderBy(F.desc("_range"), "_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("lane", "_range", "_salt").orderBy(F.desc("score"), "candidate_id")))
-    joined = ranked.join(ahead, ["lane", "_range", "_salt"], "left").join(F.broadcast(quotas.select("lane", "quota").groupBy("lane").agg(F.max("quota").alias("_quota"))), "lane", "left")
-    return joined.withColumn("lane_quota_full", F.coalesce(F.col("_ahead") + F.col("_k") > F.col("_quota"), F.lit(False))).drop("_range", "_salt", "_ahead", "_k", "_quota")
+    keyed = candidates.withColumn("_score", F.coalesce("score", F.lit(0.0)))
+    order = [F.col("lane"), F.col("_score").desc(), F.col("candidate_id")]
+    # Ranges are drawn by a sample and must be the same for the counts and the ranks.
+    parted = checkpointed(keyed.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = parted.groupBy("lane", "_part").agg(F.count("*").alias("_n"))
+    ahead = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.partitionBy("lane").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumnRenamed("lane", "_lane").drop("_n")
+    ranked = parted.withColumn("_k", F.row_number().over(Window.partitionBy("_part", "lane").orderBy(F.desc("_score"), "candidate_id")))
+    joined = ranked.join(ahead.withColumnRenamed("_part", "_of"), F.col("lane").eqNullSafe(F.col("_lane")) & (F.col("_part") == F.col("_of")), "left").join(F.broadcast(quotas.select("lane", "quota").groupBy("lane").agg(F.max("quota").alias("_quota"))), "lane", "left")
+    return joined.withColumn("lane_quota_full", F.coalesce(F.col("_ahead") + F.col("_k") > F.col("_quota"), F.lit(False))).drop("_score", "_part", "_of", "_lane", "_ahead", "_k", "_quota")
 
 
 def rejection_rates(decisions: DataFrame) -> DataFrame:

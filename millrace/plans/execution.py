@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.operators import batches, evidence, ledger, mixture, packing, selection, shards, tokenizer
+from millrace.plans import curation
 from millrace.sources.tables import read_table, spread
 from millrace.streaming import streams
 
@@ -330,11 +331,16 @@ _DOCS = f"docs AS (SELECT shard_id, row_number() OVER (PARTITION BY shard_id ORD
 _EOD = "CASE WHEN len(e) > 2048 THEN list_append(e[1:2047], 3) ELSE e END"
 _ENDED = "(SELECT shard_id, pos, doc_id, CASE WHEN len(tokens) > 0 AND tokens[-1] <> 3 THEN list_append(tokens, 3) ELSE tokens END AS e FROM {0})"
 
-_CANDIDATES = """
+_CANDIDATES = f"""
     WITH texts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY shard_id, pos) AS k FROM documents_tok) WHERE k = 1),
-         prepared AS (SELECT shard_id, doc_id, t, w, len(w) AS n FROM (SELECT shard_id, doc_id, t, {words} AS w FROM (SELECT shard_id, doc_id, {clean} AS t FROM texts))),
-         scored AS (SELECT p.doc_id AS candidate_id, round({score}, 9) AS score, {lane} AS lane FROM prepared p JOIN {shards} s USING (shard_id)),
-         ranked AS (SELECT *, floor(coalesce(score, 0) * 1000) AS r FROM scored)"""
+         prepared AS (SELECT shard_id, doc_id, t, w, len(w) AS n FROM (SELECT shard_id, doc_id, t, {curation._WORDS} AS w FROM (SELECT shard_id, doc_id, {curation._CLEAN} AS t FROM texts))),
+         scored AS (SELECT p.doc_id AS candidate_id, round({curation._SCORE}, 9) AS score, {_LANE.format("s.capability_lane")} AS lane FROM prepared p JOIN {_SHARDS} s USING (shard_id)),
+         quotas AS (SELECT lane, max(CAST(floor(share * {QUOTA}) AS BIGINT)) AS quota FROM stage_lanes WHERE family = 'curriculum' AND stage = 'mid' GROUP BY lane),
+         ranked AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY coalesce(score, 0) DESC, candidate_id) AS k FROM scored),
+         told AS (SELECT r.*, coalesce(k > quota, false) AS quota_full, lane IN ({", ".join(f"'{p}'" for p in selection.PROTECTED)}) AND score >= {selection.RESCUE_FLOOR} AS rescued FROM ranked r LEFT JOIN quotas USING (lane)),
+         reasons AS (SELECT *, CASE WHEN quota_full THEN CASE WHEN rescued THEN 'protected_floor_rescued' ELSE 'quota_pressure' END
+             WHEN coalesce(score, 0) < {selection.THRESHOLD} THEN CASE WHEN rescued THEN 'protected_floor_rescued' ELSE 'low_quality_score' END ELSE 'quality_above_threshold' END AS reason FROM told),
+         decisions AS (SELECT candidate_id, CASE reason WHEN 'protected_floor_rescued' THEN 'protected-floor-rescued' WHEN 'quality_above_threshold' THEN 'accepted' ELSE 'rejected' END AS status, reason, score, lane, reason = 'protected_floor_rescued' AS rescued_by_protected_floor FROM reasons)"""
 
 ORACLES = {
     "stage_ratios": f"SELECT * FROM {_RATIOS}",
@@ -354,6 +360,8 @@ ORACLES = {
     "shard_manifests": f"SELECT shard_id, array_to_string(ids, ',') AS document_ids, token_count, license_provenance_tier AS license_tier, CASE WHEN eval_overlap_status THEN 'overlap' ELSE 'clear' END AS eval_overlap_status, dedup_status, contamination_status FROM {_MANIFESTS}",
     "admission_gate": f"SELECT shard_id, reason = 'admitted' AS admitted, reason FROM (SELECT shard_id, CASE WHEN fw <> 'clean' THEN fw WHEN contamination_status IS DISTINCT FROM 'clean' THEN 'contaminated' WHEN NOT coalesce(contains(dedup_status, 'passed'), false) THEN 'dedup_not_passed' ELSE 'admitted' END AS reason FROM {_FIREWALL})",
     "firewall_audit": f"SELECT shard_id, CASE WHEN fw = 'clean' THEN 'admitted' ELSE 'blocked' END AS status, fw AS reason, CASE WHEN fw = 'registered_eval_doc_id' THEN doc END AS doc_id FROM {_FIREWALL}",
+    "selection_decisions": f"{_CANDIDATES} SELECT * FROM decisions",
+    "rejection_rates": f"{_CANDIDATES} SELECT lane, count(*) AS decisions, avg(CAST(status = 'rejected' AS INTEGER)) AS rejection_rate FROM decisions GROUP BY lane",
     "pack_pad_only": f"""SELECT shard_id, CAST(row_number() OVER (PARTITION BY shard_id ORDER BY pos, doc_id) - 1 AS INTEGER) AS seq_no, md5(array_to_string(list_resize(tokens, 2048, 0), ',')) AS digest, 1::BIGINT AS spans, doc_id AS sample_ids, CAST(2048 - least(2048, len(tokens)) AS BIGINT) AS padding_count FROM {_ONCE}""",
     "pack_concat_chop": f"""WITH d AS (SELECT shard_id, doc_id, pos, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS i FROM {_ONCE}),
         o AS (SELECT shard_id, doc_id, t, row_number() OVER (PARTITION BY shard_id ORDER BY pos, doc_id, i) - 1 AS a FROM d),

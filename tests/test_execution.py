@@ -100,6 +100,15 @@ def test_quota_goes_by_score(spark):
     assert len(open_) == 25 and min(open_) >= max(r.score for r in full.where("lane_quota_full").collect()) - 1e-9
 
 
+def test_quota_parts_close_scores_exactly(spark):
+    """Scores that lie within a thousandth of each other, equal ones by id, and a lane without quota."""
+    rows = [(f"c{(k * 37) % 300:03d}", 0.8 + (k % 50) * 1e-6, "x" if k % 10 else "y", False) for k in range(300)]
+    df = spark.createDataFrame(rows, "candidate_id string, score double, lane string, defer boolean")
+    full = selection.with_quota(df, spark.createDataFrame([("x", 100)], "lane string, quota long"))
+    want = [r[0] for r in sorted((r for r in rows if r[2] == "x"), key=lambda r: (-r[1], r[0]))[:100]] + [r[0] for r in rows if r[2] == "y"]
+    assert sorted(r.candidate_id for r in full.where(~F.col("lane_quota_full")).collect()) == sorted(want)
+
+
 def plain_pack(lengths, policy, size):
     bins = []
     for n in lengths:
