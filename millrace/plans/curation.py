@@ -61,24 +61,45 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.near_duplicates(dedup.drop_copies(_documents(spark, folder)))
 
 
+def curated_full(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages, near duplicates and full normalization included."""
+    return funnel.curate(_documents(spark, folder), near=True)
+
+
+def _drops(curated: DataFrame) -> DataFrame:
+    return curated.select("doc_id", "drop_stage", "domain", F.col("word_count").cast("long").alias("word_count"), F.col("char_count").cast("long").alias("char_count"))
+
+
 def funnel_drops(spark: SparkSession, folder: str) -> DataFrame:
-    return funnel.curate(_documents(spark, folder), full_normalize=False).select("doc_id", "drop_stage", "domain", F.col("word_count").cast("long").alias("word_count"), F.col("char_count").cast("long").alias("char_count"))
+    return _drops(curated_full(spark, folder))
 
 
 def funnel_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return funnel.summary(funnel.curate(_documents(spark, folder), full_normalize=False))
+    return funnel.summary(curated_full(spark, folder))
 
 
 def domain_pools(spark: SparkSession, folder: str) -> DataFrame:
-    return funnel.domain_pools(funnel.curate(_documents(spark, folder), full_normalize=False))
+    return funnel.domain_pools(curated_full(spark, folder))
 
 
-def curated_full(spark: SparkSession, folder: str) -> DataFrame:
-    """All stages, near duplicates and full normalization included."""
-    return funnel.curate(_documents(spark, folder), near=True)
+def _reduced(spark: SparkSession, folder: str) -> DataFrame:
+    """The part of the funnel that SQL can say: no near duplicates, and neither markup nor NFKC in the cleaning."""
+    return funnel.curate(_documents(spark, folder), full_normalize=False)
+
+
+def reduced_funnel_drops(spark: SparkSession, folder: str) -> DataFrame:
+    return _drops(_reduced(spark, folder))
+
+
+def reduced_funnel_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return funnel.summary(_reduced(spark, folder))
+
+
+def reduced_domain_pools(spark: SparkSession, folder: str) -> DataFrame:
+    return funnel.domain_pools(_reduced(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (lang_ratio_filter, exact_dedup, exact_dedup_kept, normalize_space, normalize_full, heuristic_tests, edu_score, domain_tag, redact, shingle_counts, near_duplicates, funnel_drops, funnel_summary, domain_pools, curated_full)}
+QUERIES = {f.__name__: f for f in (lang_ratio_filter, exact_dedup, exact_dedup_kept, normalize_space, normalize_full, heuristic_tests, edu_score, domain_tag, redact, shingle_counts, near_duplicates, funnel_drops, funnel_summary, domain_pools, curated_full, reduced_funnel_drops, reduced_funnel_summary, reduced_domain_pools)}
 
 
 # ---- the same in SQL --------------------------------------------------------
@@ -140,10 +161,10 @@ ORACLES = {
     "redact": f"SELECT doc_id, md5({_REDACT.format(_CLEAN)}) AS digest FROM documents",
     "shingle_counts": rf"""SELECT doc_id, CASE WHEN len(w) < 5 THEN len(list_distinct(w)) ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) END AS shingles
         FROM (SELECT doc_id, regexp_extract_all(lower({_TEXT}), '[\p{{L}}\p{{N}}_]+') AS w FROM documents)""",
-    "funnel_drops": f"{_FUNNEL} SELECT doc_id, drop_stage, CASE WHEN drop_stage IS NULL THEN {_domain('clean', 0)} END AS domain, CASE WHEN drop_stage IS NULL THEN CAST(len(string_split(clean, ' ')) AS BIGINT) END AS word_count, length(clean) AS char_count FROM curated",
-    "funnel_summary": f"""{_FUNNEL}, c AS (SELECT count(*) AS n, count(*) FILTER (drop_stage IS NULL) AS kept, count(*) FILTER (drop_stage IS NULL AND clean <> t) AS redacted_docs,
+    "reduced_funnel_drops": f"{_FUNNEL} SELECT doc_id, drop_stage, CASE WHEN drop_stage IS NULL THEN {_domain('clean', 0)} END AS domain, CASE WHEN drop_stage IS NULL THEN CAST(len(string_split(clean, ' ')) AS BIGINT) END AS word_count, length(clean) AS char_count FROM curated",
+    "reduced_funnel_summary": f"""{_FUNNEL}, c AS (SELECT count(*) AS n, count(*) FILTER (drop_stage IS NULL) AS kept, count(*) FILTER (drop_stage IS NULL AND clean <> t) AS redacted_docs,
         {", ".join(f"count(*) FILTER (drop_stage = '{s}') AS {s}" for s in funnel.STAGES)} FROM curated)
         SELECT greatest(1, n) AS total_input_docs, kept AS retained_docs, round_even(kept / greatest(1, n) * 100, 2) AS yield_percentage, round_even((greatest(1, n) - kept) / greatest(1, n) * 100, 2) AS noise_filtered_pct,
         {", ".join(funnel.STAGES)}, kept AS stage7_pii_redacted, redacted_docs FROM c""",
-    "domain_pools": f"{_FUNNEL}, k AS (SELECT {_domain('clean', 0)} AS domain FROM curated WHERE drop_stage IS NULL) SELECT domain, lower(string_split(domain, ' ')[1]) AS pool, count(*) AS documents FROM k GROUP BY domain",
+    "reduced_domain_pools": f"{_FUNNEL}, k AS (SELECT {_domain('clean', 0)} AS domain FROM curated WHERE drop_stage IS NULL) SELECT domain, lower(string_split(domain, ' ')[1]) AS pool, count(*) AS documents FROM k GROUP BY domain",
 }

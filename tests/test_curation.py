@@ -5,6 +5,7 @@ import random
 import pytest
 
 from millrace.operators import dedup, funnel
+from millrace.plans import curation
 
 WORDS = "the study of data shows that a process model helps because research on any system needs an example of each method and result"
 
@@ -86,3 +87,16 @@ def test_first_failed_test_counts(spark):
 def test_summary_of_an_empty_table(spark):
     row = funnel.summary(funnel.curate(docs(spark, []))).first()
     assert (row.total_input_docs, row.retained_docs, row.yield_percentage) == (1, 0, 0.0)
+
+
+def test_registered_funnel_has_all_stages(spark, tmp_path):
+    """A near copy goes before the tests, and markup is taken out before they count."""
+    good = " ".join(f"{w} study{k}" for k, w in enumerate(WORDS.split() * 2))
+    rows = [(1, good), (2, good + " tail"), (3, "<p>" + WORDS.replace("study", "theory") + "</p>"), (4, "short")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in curation.funnel_drops(spark, str(tmp_path)).collect()}
+    assert {i: r.drop_stage for i, r in got.items()} == {1: None, 2: "near_dedup_minhash", 3: None, 4: "language_filter"}
+    assert got[3].char_count == len(WORDS) + 1
+    row = curation.funnel_summary(spark, str(tmp_path)).first()
+    assert (row.total_input_docs, row.retained_docs, row.near_dedup_minhash) == (4, 2, 1)
+    assert sum(r.documents for r in curation.domain_pools(spark, str(tmp_path)).collect()) == 2
