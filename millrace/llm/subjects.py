@@ -288,8 +288,9 @@ def labelled(model: Model, texts: list, sources: list, domains: list, tags: list
         chosen, chance = model.chain.decode(x)
     out = []
     for k in range(len(texts)):
-        mixed = len(subjects) and small[k] < quality.COMMON_LEAST and share[k].max() < 0.45
-        if not terms_words[k] or mixed:
+        # Junk is what problem 1 calls so; it is asked only about texts with subjects, few common words and no main subject.
+        doubtful = len(subjects) and chosen[k].any() and small[k] < quality.COMMON_LEAST and share[k].max() < 0.45
+        if not terms_words[k] or (doubtful and quality.describe(texts[k])[-1] == "junk"):
             out.append([])
             continue
         out.append([(subjects[s], float(share[k, s]), float(chance[k, s])) for s in np.flatnonzero(chosen[k] > 0)])

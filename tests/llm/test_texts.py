@@ -147,3 +147,11 @@ def test_subjects_learn_and_decode(spark):
     shares = {r.subject: r.documents for r in subjects.composition(documents, *tables).collect()}
     assert shares["none"] == len(rows) - len(got)
     assert subjects.classify(documents.limit(0), *tables).count() == 0
+
+
+def test_lists_about_several_subjects_keep_them():
+    law, sport, other = ("court judge statute appeal verdict", "goal striker league referee match", "basket lamp carpet window spoon")
+    model = subjects.fit([], {"law": law, "sport": sport})
+    entries = [f"- {part}" for part in [law] * 4 + [sport] * 4 + [other] * 2]
+    got = subjects.labelled(model, ["\n".join(entries), "- " + "\n- ".join([other] * 10)], [None] * 2, [None] * 2, [None] * 2)
+    assert [[s for s, _, _ in found] for found in got] == [["law", "sport"], []]
