@@ -127,9 +127,9 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, EMAIL_PATTERN, "[REDACTED_EMAIL]"), URL_PATTERN, "[REDACTED_URL]")
 
 
-def domain(text: Column) -> Column:
-    """``domain`` and ``confidence`` as a struct, by the first rule with a substring in the text's first characters."""
-    head = F.lower(F.substring(_text(text), 1, DOMAIN_CHARS))
+def domain(text: Column, chars: int | None = DOMAIN_CHARS) -> Column:
+    """``domain`` and ``confidence`` as a struct, by the first rule with a substring in the text's first characters, or in all of it if ``chars`` is None."""
+    head = F.lower(_text(text) if chars is None else F.substring(_text(text), 1, chars))
     found = F.struct(F.lit(DEFAULT_DOMAIN[0]).alias("domain"), F.lit(DEFAULT_DOMAIN[1]).alias("confidence"))
     for name, confidence, marks in reversed(DOMAIN_RULES):
         hit = F.lit(False)

@@ -49,6 +49,11 @@ def domain_tag(spark: SparkSession, folder: str) -> DataFrame:
     return _documents(spark, folder).select("doc_id", X.domain(F.col("text")).alias("d")).select("doc_id", "d.domain", "d.confidence")
 
 
+def domain_tag_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``domain_tag``, by the whole text instead of the reference's first characters."""
+    return _documents(spark, folder).select("doc_id", X.domain(F.col("text"), None).alias("d")).select("doc_id", "d.domain", "d.confidence")
+
+
 def redact(spark: SparkSession, folder: str) -> DataFrame:
     return _documents(spark, folder).select("doc_id", F.md5(X.redact(X.clean_space(F.col("text")))).alias("digest"))
 
@@ -99,7 +104,7 @@ def reduced_domain_pools(spark: SparkSession, folder: str) -> DataFrame:
     return funnel.domain_pools(_reduced(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (lang_ratio_filter, exact_dedup, exact_dedup_kept, normalize_space, normalize_full, heuristic_tests, edu_score, domain_tag, redact, shingle_counts, near_duplicates, funnel_drops, funnel_summary, domain_pools, curated_full, reduced_funnel_drops, reduced_funnel_summary, reduced_domain_pools)}
+QUERIES = {f.__name__: f for f in (lang_ratio_filter, exact_dedup, exact_dedup_kept, normalize_space, normalize_full, heuristic_tests, edu_score, domain_tag, domain_tag_whole, redact, shingle_counts, near_duplicates, funnel_drops, funnel_summary, domain_pools, curated_full, reduced_funnel_drops, reduced_funnel_summary, reduced_domain_pools)}
 
 
 # ---- the same in SQL --------------------------------------------------------

@@ -100,3 +100,9 @@ def test_registered_funnel_has_all_stages(spark, tmp_path):
     row = curation.funnel_summary(spark, str(tmp_path)).first()
     assert (row.total_input_docs, row.retained_docs, row.near_dedup_minhash) == (4, 2, 1)
     assert sum(r.documents for r in curation.domain_pools(spark, str(tmp_path)).collect()) == 2
+
+
+def test_domain_of_the_whole_text(spark, tmp_path):
+    docs(spark, [(1, "plain words " * 100 + "theorem"), (2, "plain words")]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.domain for r in curation.domain_tag_whole(spark, str(tmp_path)).collect()}
+    assert got == {1: "D2 Code and Mathematics", 2: "D3 General Web"}
