@@ -1,12 +1,22 @@
 """Problem 1: statistics of each text, and what most of it is if not running text.
 
-A text is read line by line. Vertical alignment of delimiters marks rows of
-cells; a run of short items, on lines of their own or parted by one repeated
-mark within a line, marks a list; indentation that keeps to one step together
-with the signs of statements marks source code, which is no case; few letters,
-unpronounceable or endlessly repeated words, or words without any of the small
-words that bind sentences mark junk. The kind that holds most of the characters
-decides.
+A text's lines fall into stretches, and each stretch is judged by three
+features of its structure together with ratios of words, signs and punctuation:
+
+* vertical alignment: how many of its lines hold one delimiter as many times as
+  most of them do;
+* indentation periodicity: how often the way a line is led in (its indentation
+  and its mark, such as a bullet, a number or a box) comes back at a fixed
+  distance; for programs, how many lines keep to the steps of one indentation;
+* line-length autocorrelation: how alike the lengths of lines are at the best
+  distance of one to four lines (without subtracting the mean, so that equal
+  lengths give 1).
+
+Each kind has a sum of weighted evidence (``table_evidence``, ``list_evidence``,
+``code_evidence``) and a least sum. Source code is no case. What is left is junk
+by its letters, by endless repetition, or by words in a row without any
+sentence; no list of words of any language takes part in that. The kind that
+holds most of the characters decides.
 
 Defined results: a null text has null statistics, an empty or blank one zeros,
 and neither has a ``body``; repeated rows are repeated.
@@ -43,30 +53,36 @@ _WORD = re.compile(f"[^\\W\\d_]+(?:['’]?[{_MARKS}]*[^\\W\\d_]*)*")
 _BREAKS = re.compile(r"<(?:/?(?:p|br|div|h\d|li|tr|ul|ol|table|thead|tbody|html|body|head|title)\b)[^<>]*>", re.I)
 _CELLS = re.compile(r"</t[dh]>\s*<t[dh][^<>]*>", re.I)
 _TAGS = re.compile(r"<[/!]?[A-Za-z][^<>]*>")
-_BULLET = re.compile(r"^\s*(?:[-–—*•·▪◦‣+]|\[[ xX]\]|\(?(?:\d{1,3}|[A-Za-z])[.)]|[०-९০-৯]{1,3}[.)])\s+")
+#: What leads an item in: its indentation and its mark.
+_LEAD = re.compile(r"([ \t]*)((?:[-–—*•·▪◦‣+]|\[[ xX]\]|\(?(?:\d{1,3}|[A-Za-z])[.)]|\d{1,3} [-–]|[०-९০-৯]{1,3}[.)])\s+)?")
 _SENTENCE_END = ".!?।॥…:;\"'”’»)"
-_CODE_LINE = re.compile(
-    r"^\s*(?:def |class |return\b|import |from \w+ import|for \w+ in |while .*:|if .*:$|else:|elif |try:|except|assert |@\w+\(|const |let |var |export |function |async |await |SELECT |CREATE |INSERT |UPDATE |DELETE |FROM |WHERE |GROUP BY|\w+ (?:BIGINT|INT|VARCHAR|TEXT)\b|"
-    r"#!/|set -|fi$|done$|do$|then$|echo |#include|int |void |public |private |fn |use |package |\}|\{|\);?$)|[{};]\s*$|^\s*[\w.]+\s*(?:=|\+=|//=|\*=)\s*\S|^\s*\w+\(.*\)\s*;?$|^\s*[\w-]+:\s*(?:[\w./-]+)?$|=>|\|\| |&& "
-)
-_COMMENT_LINE = re.compile(r"^\s*(?:#|//|--)\s")
-_TRACE = re.compile(r"^\s*(?:User|Thought|Action|Observation|Final answer|Assistant|System|Tool|Q|A)\s*:", re.I)
+_STOPS = ".!?।॥…"
+_INNER = re.compile("[.!?।…]\\s")
+#: Signs of statements, whatever the language: calls, assignments, brackets and separators at the end, a key with one value.
+_STATEMENT = re.compile(r"[\w)\]]\(|\w\[|(?:^|[^=<>!])=(?:[^=]|$)|[=!<>+*/-]=|->|=>|::|\|\||&&|\$[\w{(]|[{}(\[;]\s*$|\)[;,:]?\s*$|^\s*[@#]\S|^\s*(?:#|//|--|/\*) |^\s*[\w-]+:\s*[\w./'\"-]*$|^\s*[})\]]")
+#: Characters one of which every such sign has.
+_SIGN = re.compile(r"[]()\[={}<>;:|&$@#*/+-]")
 _FORMULA = re.compile(r"\d\s*[-+*/=×÷]\s*\d|\d[a-z]\s*[-+=]")
 _ODD = re.compile(r"[~^$#|\\&@%_<>]")
-_NUMBER = re.compile(r"^[-+]?[\d.,%$€]+$|^n/?a$|^-$|^$", re.I)
-_INNER = re.compile("[.!?।…]\\s")
 _SPACES = re.compile(r"(?<=\S) {2,}(?=\S)")
 _RULE = re.compile(r"^[\s|:+=-]+$")
 _VOWEL = re.compile("[aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ]", re.I)
+_CASED = re.compile(r"(?:^|[.!?…]\s)[\s\"'“”‘’«»¿¡(]*([^\W\d_])")
 #: Characters that UTF-8 read as another encoding turns into.
 _MOJIBAKE = re.compile("[" + "".join(map(chr, (0xA2, 0xA8, 0xA9, 0xAB, 0xAC, 0xBB, 0xBD, 0xBF, 0xC2, 0xC3, 0xE2, 0xEF, 0x153, 0x201A, 0x201C, 0x201E, 0x20AC, 0x2122, 0xFFFD))) + "]")
 #: Marks that part the items of a list written in one line, the strongest first.
 _PARTS = (" · ", " | ", " » ", " • ", " / ", "; ", ", ")
-
-ITEM_WORDS, ITEM_WORDS_MOST, LEAST_ITEMS = 5, 9, 4
-COMMON_LEAST = 0.08
-#: A longer line is no statement of a program.
-STATEMENT_MOST = 240
+#: Delimiters of cells, and how much each speaks for a table by itself.
+MARKS = {"\t": 0.5, "|": 0.4, "  ": 0.3, ";": 0.1, ",": 0.0}
+
+LEAST_ITEMS, LEAST_ROWS = 4, 3
+#: Words of a line from which on it is no item: without and with a mark that leads it in.
+ITEM_WORDS_MOST, MARKED_WORDS_MOST = 9, 18
+LEAST_TABLE, LEAST_LIST, LEAST_CODE = 1.9, 1.2, 0.5
+#: A line is a statement if it holds a sign of one for each so many characters.
+SIGN_EVERY = 80
+#: Words in a row are no text if fewer than this share of them are short and fewer than half of what begins sentences is capital.
+SHORT_WORD, LEAST_SHORT = 3, 0.08
 
 STATS = [
     ("n_chars", T.LongType()),
@@ -94,49 +110,134 @@ def plain_lines(text: str) -> list[str]:
     return text.replace(chr(0xA0), " ").replace(chr(0x200B), "").replace("\r\n", "\n").replace("\r", "\n").split("\n")
 
 
-def cells(line: str) -> dict[str, int]:
-    """How many times each delimiter of cells stands in a line."""
-    found = {d: line.count(d) for d in ("\t", "|", ",", ";") if d in line}
-    if "  " in line and (n := len(_SPACES.findall(line))):
-        found["  "] = n
+# ---------------------------------------------------------------- features of structure
+
+
+def alignment(counts: list[int]) -> float:
+    """The share of lines that hold a delimiter as many times as most of the lines do."""
+    held = Counter(c for c in counts if c)
+    return max(held.values()) / len(counts) if held else 0.0
+
+
+def periodicity(leads: list[tuple[int, str]]) -> float:
+    """The largest share, over distances of one to four lines, of lines led in by a mark or an indentation as the line at that distance is."""
+    n = len(leads)
+    best = 0.0
+    for k in range(1, min(5, n)):
+        best = max(best, sum(a == b and a != (0, "") for a, b in zip(leads, leads[k:])) / (n - k))
+    return best
+
+
+def stepping(indents: list[int]) -> float:
+    """The share of lines indented deeper than the least by whole steps of one width."""
+    least = min(indents, default=0)
+    deeper = [i - least for i in indents if i > least]
+    if not deeper:
+        return 0.0
+    step = min(deeper)
+    return sum(i % step == 0 for i in deeper) / len(indents)
+
+
+def autocorrelation(lengths: list[int]) -> float:
+    """The largest correlation, not centred, of line lengths with those one to four lines on; 1 for equal lengths, 0 for fewer than three lines."""
+    if len(lengths) < 3:
+        return 0.0
+    x = np.array(lengths, float)
+    found = 0.0
+    for k in range(1, min(5, len(x) - 1)):
+        power = float((x[k:] ** 2).sum() * (x[:-k] ** 2).sum()) ** 0.5
+        found = max(found, float((x[k:] * x[:-k]).sum()) / power if power else 0.0)
     return found
 
 
-def split_cells(line: str, mark: str) -> list[str]:
-    return _SPACES.split(line.strip()) if mark == "  " else [c.strip() for c in line.strip().strip("|").split(mark)]
+def lead_of(line: str) -> tuple[tuple[int, str], str]:
+    """How a line is led in (its indentation and the kind of its mark), and the rest of it."""
+    m = _LEAD.match(line)
+    mark = (m.group(2) or "").strip()
+    kind = "1" if mark[:1].isdigit() or mark[1:2].isdigit() else "a" if mark[:1].isalpha() else mark[:1]
+    return (len(m.group(1)), kind), line[m.end() :].strip()
 
 
-def is_items(parts: list[str]) -> bool:
-    """Whether parts of a line or the lines of a run are items: short, without a sentence within."""
-    if len(parts) < LEAST_ITEMS:
-        return False
-    sizes = sorted(len(p.split()) for p in parts)
-    if sizes[len(sizes) // 2] > ITEM_WORDS or sizes[(len(sizes) * 9) // 10] > ITEM_WORDS_MOST:
-        return False
-    return sum(bool(_INNER.search(p)) for p in parts) <= len(parts) // 10
+# ---------------------------------------------------------------- evidence
+
+
+def table_evidence(lines: list[str], counts: list[int], mark: str) -> float:
+    """What speaks for rows of cells: aligned delimiters, lines of like length, numbers, a delimiter of tables, short cells and no ends of sentences."""
+    solid = sum(map(len, lines))
+    digits = sum(sum(map(x.count, "0123456789")) for x in lines)
+    ended = sum(x[-1] in _STOPS for x in lines) / len(lines)
+    wordy = sum(len(x.replace(mark, " ").split()) for x in lines) / max(1, sum(counts) + len(lines))
+    return 1.5 * alignment(counts) + 0.8 * autocorrelation([len(x) for x in lines]) + 0.4 * min(1.0, 2 * digits / solid) + MARKS[mark] - 1.2 * ended - 0.25 * wordy
+
+
+def list_evidence(items: list[str], leads: list[tuple[int, str]]) -> float:
+    """What speaks for items: few words, lines led in alike, lines of like length, and neither ends of sentences nor sentences within."""
+    n = len(items)
+    if n < LEAST_ITEMS:
+        return 0.0
+    sizes = sorted(len(x.split()) for x in items)
+    short = min(1.0, max(0.0, (ITEM_WORDS_MOST - sizes[n // 2]) / 4))
+    long = sum(len(x.split()) > (MARKED_WORDS_MOST if mark else ITEM_WORDS_MOST) for x, (_, mark) in zip(items, leads)) / n
+    ended = sum(x[-1:] in _STOPS or x[-1:] == "," for x in items) / n
+    inner = sum(bool(_INNER.search(x)) for x in items) / n
+    return short + periodicity(leads) + 0.6 * autocorrelation([len(x) for x in items]) - 1.5 * ended - 2.0 * inner - 2.0 * long
+
+
+def code_evidence(lines: list[str]) -> tuple[float, float]:
+    """What speaks for a program, and the share of its characters in statements: signs of statements and lines that keep to steps of one indentation, no ends of sentences."""
+    whole = sum(map(len, lines))
+    share = sum(len(x) for x in lines if len(_SIGN.findall(x)) * SIGN_EVERY >= len(x) and len(_STATEMENT.findall(x)) * SIGN_EVERY >= len(x)) / whole
+    ended = sum(x.rstrip()[-1] in ".!?।…" for x in lines) / len(lines)
+    return 0.8 * share + 0.6 * stepping([len(x) - len(x.lstrip(" \t")) for x in lines]) - 1.0 * ended, share
+
+
+def tables(lines: list[str]) -> tuple[list[bool], float]:
+    """Which lines are rows of a table, and the best alignment met.
+
+    Lines in a row that hold a delimiter are a stretch; rules between rows belong to it.
+    """
+    inside, aligned = [False] * len(lines), 0.0
+    bare = [x.strip() for x in lines]
+    for mark in MARKS:
+        if not any(mark in x for x in bare):
+            continue
+        if mark == "  ":
+            counts = [len(_SPACES.findall(x)) if mark in x else 0 for x in bare]
+        else:
+            counts = [x.strip(mark + " ").count(mark) for x in bare]
+        rule = [c > 0 and bool(_RULE.match(x)) for x, c in zip(bare, counts)]
+        start = 0
+        while start < len(lines):
+            if not counts[start]:
+                start += 1
+                continue
+            end = start
+            while end < len(lines) and counts[end]:
+                end += 1
+            rows = [k for k in range(start, end) if not rule[k] and not inside[k]]
+            if len(rows) >= LEAST_ROWS:
+                own = [counts[k] for k in rows]
+                aligned = max(aligned, alignment(own) * len(rows) / len(lines))
+                if table_evidence([bare[k] for k in rows], own, mark) >= LEAST_TABLE:
+                    inside[start:end] = [True] * (end - start)
+            start = end
+    return inside, aligned
 
 
 def one_line_items(line: str) -> bool:
+    """Whether a line is a list by itself: parts between one repeated mark, judged as lines are."""
     for mark in _PARTS:
         if line.count(mark) >= LEAST_ITEMS:
-            parts = line.split(mark)
-            if mark != ", " or sum(len(p.split()) for p in parts) <= 4 * len(parts):
-                if is_items(parts):
-                    return True
+            parts = [p.strip() for p in line.strip(" .").split(mark)]
+            # A comma parts clauses too, so it does not count as what leads items in, and its items must be the shorter.
+            weak = mark == ", "
+            if weak and sum(len(p.split()) for p in parts) > 4 * len(parts):
+                continue
+            if list_evidence(parts, [(0, "" if weak else mark)] * len(parts)) >= LEAST_LIST:
+                return True
     return False
 
 
-def autocorrelation(lengths: np.ndarray) -> float:
-    """The largest correlation of line lengths with those one to four lines on."""
-    if len(lengths) < 8:
-        return 0.0
-    x = lengths - lengths.mean()
-    power = float((x * x).sum())
-    if power == 0:
-        return 1.0
-    return max(float((x[k:] * x[:-k]).sum()) / power for k in range(1, 5))
-
-
 def is_gibberish(words: list[str], text: str, letters: int, signs: int) -> bool:
     """Junk by its letters: hardly any, unpronounceable words, blocks without spaces, wrong decoding."""
     solid = letters + signs
@@ -148,7 +249,8 @@ def is_gibberish(words: list[str], text: str, letters: int, signs: int) -> bool:
         return True
     latin = [w for w in words if w.isascii()]
     size = sum(map(len, latin))
-    if size > 0.5 * letters and len(latin) >= 5:
+    # Half of the words must have next to no vowels before each is looked at.
+    if size > 0.5 * letters and len(latin) >= 5 and len(_VOWEL.findall(" ".join(latin))) * 4 < size:
         mute = sum(len(w) for w in latin if len(w) > 2 and len(_VOWEL.findall(w)) * 6 < len(w))
         if mute > 0.4 * size:
             return True
@@ -156,6 +258,20 @@ def is_gibberish(words: list[str], text: str, letters: int, signs: int) -> bool:
     return longest > 60 and longest > 0.5 * solid
 
 
+def is_salad(words: list[str], lines: list[str], letters: int) -> bool:
+    """Junk by its words, in scripts with capitals: many, hardly any short ones, and no sentences that begin with a capital."""
+    if len(words) < 15 or 2 * sum(len(w) for w in words if w.isascii()) <= letters:
+        return False
+    if sum(len(w) <= SHORT_WORD for w in words) >= LEAST_SHORT * len(words):
+        return False
+    begun = [c for x in lines for c in _CASED.findall(x)]
+    return 2 * sum(c.isupper() for c in begun) < len(begun)
+
+
+def is_repeated(words: list[str]) -> bool:
+    return len(words) >= 8 and (n := len(set(words))) <= 12 and 6 * n <= len(words)
+
+
 def describe(text: str | None) -> tuple:
     """The values of STATS for one text."""
     if text is None:
@@ -163,7 +279,7 @@ def describe(text: str | None) -> tuple:
     stripped = text.strip()
     if not stripped:
         return (len(text), 0, *(0.0,) * 12, None)
-    lines = [x for x in plain_lines(text) if x.strip()]
+    lines = [x for x in plain_lines(text) if x.strip()] or [stripped]
     body = "\n".join(lines)
     words = _WORD.findall(body)
     lowered = [w.lower() for w in words]
@@ -172,79 +288,43 @@ def describe(text: str | None) -> tuple:
     digits = sum(map(body.count, "0123456789"))
     signs = max(0, solid - letters - digits)
     common = sum(w in _COMMON for w in lowered)
-    counts = [cells(x) for x in lines]
     ends = sum(x.rstrip()[-1] in _SENTENCE_END for x in lines)
-
-    # Vertical alignment: the delimiter whose count is the same in most lines.
-    best, aligned, mark, per_row = 0, 0.0, "", 0
-    for d in ("\t", "|", ";", ",", "  "):
-        hist = Counter(c[d] for c in counts if c.get(d))
-        if hist:
-            n, k = max((k, n) for n, k in hist.items())[::-1]
-            if k > best and k >= 3:
-                best, mark, per_row = k, d, n
-    aligned = best / len(lines)
-    lengths = np.array([len(x) for x in lines], float)
-    correlated = autocorrelation(lengths)
-    indents = [len(x) - len(x.lstrip(" \t")) for x in lines]
-    inner = [i for i in indents if i]
-    step = min(inner) if inner else 0
-    periodic = sum(i % step == 0 for i in inner) / len(lines) if step > 1 else 0.0
-
     whole = sum(map(len, lines))
-    statements = [x for x in lines if len(x) <= STATEMENT_MOST and _CODE_LINE.search(x)]
-    signs_of_code = sum(len(x) for x in statements if "\t" not in x and not _BULLET.match(x))
-    comments = sum(len(x) for x in lines if len(x) <= STATEMENT_MOST and x.lstrip()[0] in "#/-" and _COMMENT_LINE.match(x) and not _CODE_LINE.search(x))
-    code_share = (sum(map(len, statements)) + comments) / whole
-    is_code = signs_of_code > 0.3 * whole and code_share > 0.35 and letters > 0.35 * solid
-
-    # A row has the same number of cells as most rows, and in more than the first row cells of numbers.
-    kinds = []
-    for x, c in zip(lines, counts):
-        if _TRACE.match(x):
-            kinds.append("running")
-        elif best and c.get(mark) == per_row and is_row(x, mark, best, per_row):
-            kinds.append("table")
-        elif mark == "|" and _RULE.match(x):
-            kinds.append("table")
-        elif one_line_items(x):
-            kinds.append("list")
-        else:
-            kinds.append("item" if is_item(x) else "running")
-    if kinds.count("table") < 3 or not any(has_numbers(x, mark) for x, k in zip(lines, kinds) if k == "table"):
-        kinds = [("list" if one_line_items(x) else "item" if is_item(x) else "running") if k == "table" else k for x, k in zip(lines, kinds)]
-    # Runs of short lines are lists if there are enough of them.
+
+    coded, code_share = code_evidence(lines)
+    is_code = coded >= LEAST_CODE and letters > 0.35 * solid
+    rows, aligned = tables(lines)
+    told = [lead_of(x) for x in lines]
+    leads = [lead for lead, _ in told]
     shares = Counter()
-    run: list[str] = []
+    run: list[int] = []
 
     def close() -> None:
-        shares["list" if is_items(run) else "running"] += sum(map(len, run))
+        is_list = list_evidence([told[k][1] for k in run], [leads[k] for k in run]) >= LEAST_LIST
+        shares["list" if is_list else "running"] += sum(len(lines[k]) for k in run)
         run.clear()
 
-    for x, k in zip(lines, kinds):
-        if k == "item":
-            run.append(_BULLET.sub("", x))
+    for k, (x, (lead, bare)) in enumerate(zip(lines, told)):
+        if rows[k]:
+            close()
+            shares["table"] += len(x)
+            continue
+        n = len(bare.split())
+        if bare and n <= (MARKED_WORDS_MOST if lead[1] else ITEM_WORDS_MOST) and not (n > 3 and bare[-1] in _STOPS):
+            run.append(k)
             continue
         close()
-        shares[k] += len(x)
+        shares["list" if one_line_items(x) else "running"] += len(x)
     close()
-    total = max(1, sum(shares.values()))
-    running, listed, tabled = (shares[k] / total for k in ("running", "list", "table"))
+    running, listed, tabled = (shares[k] / whole for k in ("running", "list", "table"))
 
     junk = 0.0
     if not is_code and tabled <= 0.5:
-        latin = sum(len(w) for w in words if w.isascii())
-        if is_gibberish(words, body, letters, signs + digits):
-            junk = 1.0
-        elif len(words) >= 15 and listed <= 0.5 and 2 * latin > letters and common < COMMON_LEAST * len(words):
-            junk = 1.0
-        elif len(words) >= 8 and listed <= 0.5 and len(set(lowered)) * 6 <= len(words) and len(set(lowered)) <= 12:
-            junk = 1.0
-    if junk:
-        running, listed, tabled = 0.0, 0.0, 0.0
+        if is_gibberish(words, body, letters, signs + digits) or (listed <= 0.5 and (is_salad(words, lines, letters) or is_repeated(lowered))):
+            junk, running, listed, tabled = 1.0, 0.0, 0.0, 0.0
     kind = None
     if not is_code:
-        kind = "junk" if junk > 0.5 else "table" if tabled > 0.5 else "list" if listed > 0.5 else ("table" if tabled >= listed else "list") if tabled + listed > 0.5 else None
+        kind = "junk" if junk > 0.5 else ("table" if tabled >= listed else "list") if tabled + listed > 0.5 else None
     return (
         len(text),
         len(words),
@@ -253,8 +333,8 @@ def describe(text: str | None) -> tuple:
         ends / len(lines),
         common / len(words) if words else 0.0,
         aligned,
-        periodic,
-        correlated,
+        max(periodicity(leads), stepping([indent for indent, _ in leads])),
+        autocorrelation([len(x) for x in lines]),
         running,
         listed,
         tabled,
@@ -264,24 +344,6 @@ def describe(text: str | None) -> tuple:
     )
 
 
-def is_item(line: str) -> bool:
-    """A line that may be a list's item: a bullet, or few words without a sentence's end."""
-    bare = _BULLET.sub("", line).strip()
-    n = len(bare.split())
-    if not bare or n > ITEM_WORDS_MOST:
-        return False
-    return bare[-1] not in ".!?।…," and not _INNER.search(bare)
-
-
-def is_row(line: str, mark: str, rows: int, per_row: int) -> bool:
-    parts = split_cells(line, mark)
-    return max(len(p.split()) for p in parts) <= 6 and (per_row > 1 or rows >= 4 or mark == "\t")
-
-
-def has_numbers(line: str, mark: str) -> bool:
-    return any(_NUMBER.match(p) and p for p in split_cells(line, mark))
-
-
 def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and the columns of STATS for each row of ``df``."""
     out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType)] + [T.StructField(n, t) for n, t in STATS])

@@ -33,6 +33,7 @@ from millrace.llm.texts import map_texts
 TRAIN_ROWS, TRAIN_CHARS = 4_000, 30_000
 SUBJECTS_MOST = 200
 BEAM = 8
+COMMON_LEAST = 0.08
 #: What the leans of a stretch's words must add up to.
 LEAST_LEAN = 0.6
 REMEMBERED = 400_000
@@ -289,7 +290,7 @@ def labelled(model: Model, texts: list, sources: list, domains: list, tags: list
     out = []
     for k in range(len(texts)):
         # Junk is what problem 1 calls so; it is asked only about texts with subjects, few common words and no main subject.
-        doubtful = len(subjects) and chosen[k].any() and small[k] < quality.COMMON_LEAST and share[k].max() < 0.45
+        doubtful = len(subjects) and chosen[k].any() and small[k] < COMMON_LEAST and share[k].max() < 0.45
         if not terms_words[k] or (doubtful and quality.describe(texts[k])[-1] == "junk"):
             out.append([])
             continue

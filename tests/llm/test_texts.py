@@ -155,3 +155,41 @@ def test_lists_about_several_subjects_keep_them():
     entries = [f"- {part}" for part in [law] * 4 + [sport] * 4 + [other] * 2]
     got = subjects.labelled(model, ["\n".join(entries), "- " + "\n- ".join([other] * 10)], [None] * 2, [None] * 2, [None] * 2)
     assert [[s for s, _, _ in found] for found in got] == [["law", "sport"], []]
+
+
+OTHER_LANGUAGES = [
+    "Nehir vadiden geçiyordu çünkü kasabanın insanları bunu istemişti ve köprü artık eskimişti, kimse onu onarmak istemedi.",
+    "Joki virtasi laakson läpi, koska kaupungin asukkaat olivat sitä pyytäneet, eikä kukaan halunnut korjata vanhaa siltaa.",
+    "Sungai itu mengalir melalui lembah karena orang kota telah memintanya, dan tidak ada yang mau memperbaiki jembatan tua itu.",
+]
+WORDS_TABLE = "name,job,town\nAnna,Teacher,Berlin\nBen,Baker,Hamburg\nCarla,Lawyer,Paris\nDora,Pilot,Rome\n"
+LONG_ITEMS = "- check that the valve on the boiler is closed\n- ask the owner for the key to the cellar\n- write down the numbers of the two meters\n- leave the form on the table near the door\n- lock the gate and bring back the key\n"
+YAML = "".join(f"{k}:\n  size: 3\n  names:\n    - alpha{k}\n    - beta_gamma{k}\n    - delta{k}\n  enabled: true\n" for k in ("first", "second", "third"))
+
+
+@pytest.mark.parametrize("text", OTHER_LANGUAGES)
+def test_prose_of_a_language_without_word_list_is_no_junk(text):
+    assert quality.describe(text)[-1] is None
+
+
+def test_short_words_bind_prose_without_capitals():
+    for text in (OTHER_LANGUAGES[0], OTHER_LANGUAGES[2]):
+        assert quality.describe(text.lower().rstrip("."))[-1] is None
+
+
+@pytest.mark.parametrize(
+    "feature, text, body",
+    [
+        ("alignment", WORDS_TABLE, "table"), ("alignment", WORDS_TABLE.replace(",", "\t"), "table"), ("autocorrelation", WORDS_TABLE, "table"), ("autocorrelation", "garden and lamp\nroad\nquiet evening\nriver\nold bridge\n", "list"),
+        ("periodicity", LONG_ITEMS, "list"), ("stepping", YAML, None),
+    ],
+)
+def test_each_feature_of_structure_decides(monkeypatch, feature, text, body):
+    assert quality.describe(text)[-1] == body
+    monkeypatch.setattr(quality, feature, lambda values: 0.0)
+    assert quality.describe(text)[-1] != body
+
+
+def test_long_lines_of_code_are_code():
+    line = "function a(b){return b.map(c=>c.d).filter(e=>e>1)};var f=a(g);h.i(function(j){k(l,m);n.o=p[q]});" * 20
+    assert quality.describe(line)[-1] is None and quality.describe("\n".join([line] * 5))[-1] is None
