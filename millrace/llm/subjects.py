@@ -1,18 +1,23 @@
 """Problem 6: the subject areas of each text.
 
-Words get an affinity to each subject from labelled rows; a stretch of text
-(between sentence ends, line breaks and marks of lists) is about the subject
-that its words lean to; a text's terms become the shares of its words in
-stretches about each subject. A chain of logistic classifiers, one for each
-subject in turn, reads those shares together with source, metadata and
-structure and with the labels already given, so that subjects that go together
-are learned; each link is calibrated on rows it was not fitted to. The labels
-of a text are the most probable combination that a beam search over the chain
-finds.
+Words get weights for the subjects in whose labelled rows they stand more often
+than their language's rows would have it; a word may speak for several. A
+stretch of text (between sentence ends, line breaks and marks of lists) leans
+to the subjects its words lean to. A text's terms are, for each subject, the
+share of its words in stretches that lean to it and the mean weight of all its
+words. A chain of logistic classifiers, one for each subject in turn, reads
+them together with source, metadata and structure and with the labels already
+given, so that subjects that go together are learned; each link is calibrated
+on rows it was not fitted to. The labels of a text are the most probable
+combination that a beam search over the chain finds; no rule stands after it
+but that junk (as problem 1 finds it) has no subject.
 
 The model is fitted to at most ``TRAIN_ROWS`` labelled rows of at most
 ``TRAIN_CHARS`` characters, chosen by a hash of their id. Features of these
-rows come from affinities learned without their own half.
+rows come from weights learned without their own half. All labelled rows have a
+subject, so each is used a second time, thinned: as if neutral text had been
+added to it until its subjects hold a smaller share, and with the labels it has
+then, as a text is about what holds a fifth of it.
 
 Defined results: null, empty and blank texts and junk have no subject; labels
 of unknown subjects and of unknown rows are not used; without labels the words
@@ -33,12 +38,16 @@ from millrace.llm.texts import map_texts
 TRAIN_ROWS, TRAIN_CHARS = 4_000, 30_000
 SUBJECTS_MOST = 200
 BEAM = 8
-COMMON_LEAST = 0.08
+FEW_SMALL = 0.08
 #: What the leans of a stretch's words must add up to.
 LEAST_LEAN = 0.6
 REMEMBERED = 400_000
-#: The feature that holds a subject's share of the words; below LEAST_SHARE no link may say yes, from UNSURE on a missing label says nothing.
-SHARE, LEAST_SHARE, UNSURE = 1, 0.17, 0.2
+#: The feature that holds a subject's share of the words. A text is about a subject that holds FIFTH of it: a thinned row keeps its labels down to that, and from there on a missing label says nothing.
+SHARE, FIFTH = 1, 0.2
+#: How far thinned rows go down, as shares of what their subjects hold in the row itself.
+THINNED = (0.0, 0.6)
+#: A word speaks for a subject if at least this share of its rows is about it, at odds this many times those of its language's rows.
+LEAST_CHANCE, LEAST_ODDS = 0.45, 4.0
 #: A word of a description counts as this many labelled rows.
 DESCRIPTION_ROWS = 3
 
@@ -80,9 +89,10 @@ class Terms:
         return k
 
     def terms_of(self, texts: list[str]) -> np.ndarray:
-        """For each text: the shares of its words in stretches about each subject, the share in none, and words and small words."""
+        """For each text: the shares of its words in stretches about each subject, the share in none, the mean weight of its words for each subject, its words and the share of small words."""
         get, make = self.numbers.get, self.number
-        out = np.zeros((len(texts), len(self.subjects) + 3), np.float32)
+        n = len(self.subjects)
+        out = np.zeros((len(texts), 2 * n + 3), np.float32)
         for t, text in enumerate(texts):
             if not text:
                 continue
@@ -99,8 +109,8 @@ class Terms:
             sizes = np.add.reduceat(words.astype(np.int64), starts)
             best = sums.argmax(1)
             clear = sums[np.arange(len(sums)), best] >= LEAST_LEAN
-            held = np.bincount(np.where(clear, best, len(self.subjects)), sizes, len(self.subjects) + 1) / total
-            out[t, : len(held)] = held
+            out[t, : n + 1] = np.bincount(np.where(clear, best, n), sizes, n + 1) / total
+            out[t, n + 1 : 2 * n + 1] = sums.sum(0) / total
             out[t, -2] = total
             out[t, -1] = small[ids].sum() / total
         if len(self.numbers) > REMEMBERED:
@@ -109,9 +119,11 @@ class Terms:
 
     def features(self, texts: list[str], sources: list, domains: list, tags: list) -> np.ndarray:
         """Rows x subjects x features."""
-        terms = self.terms_of(texts)
-        n, s = len(texts), len(self.subjects)
-        share = terms[:, :s]
+        return self.combined(self.terms_of(texts), sources, domains, tags)
+
+    def combined(self, terms: np.ndarray, sources: list, domains: list, tags: list) -> np.ndarray:
+        n, s = len(terms), len(self.subjects)
+        share, weight = terms[:, :s], terms[:, s + 1 : 2 * s + 1]
         rest = np.sort(share, 1)
         zero = np.zeros(s, np.float32)
         source = np.stack([self.sources.get(x, zero) for x in sources]) if n else np.zeros((0, s))
@@ -120,10 +132,21 @@ class Terms:
         top, second = rest[:, -1:], rest[:, -2:-1] if s > 1 else np.zeros((n, 1))
         other = np.where(share == top, second, top)
         few = np.broadcast_to((terms[:, -2:-1] < 30).astype(np.float32), share.shape)
-        made = [np.ones_like(share), share, np.minimum(share, 0.25) * 4, np.log(share + 0.02), other, np.broadcast_to(terms[:, s : s + 1], share.shape), source, domain, tagged, np.broadcast_to(terms[:, -1:], share.shape), few]
+        made = [np.ones_like(share), share, np.minimum(share, 0.25) * 4, np.log(share + 0.02), other, np.broadcast_to(terms[:, s : s + 1], share.shape), source, domain, tagged, np.broadcast_to(terms[:, -1:], share.shape), few, weight]
         return np.stack(made, 2).astype(np.float64)
 
 
+def thinned(terms: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows as if neutral text had been added to each, and the labels they have then."""
+    n, s = labels.shape
+    left = (THINNED[0] + (THINNED[1] - THINNED[0]) * (np.arange(n) * 0.6180339887498949 % 1.0))[:, None].astype(np.float32)
+    out = terms.copy()
+    out[:, :s] *= left
+    out[:, s] = 1 - out[:, :s].sum(1)
+    out[:, s + 1 : 2 * s + 1] *= left
+    return out, labels * (out[:, :s] >= FIFTH)
+
+
 def language_of(words: set[str]) -> str:
     """The language whose small words a text has most of; empty if it has hardly any."""
     most, lang = max((sum(w in words for w in ws), lang) for lang, ws in quality.COMMON.items())
@@ -163,11 +186,9 @@ def affinities(subjects: list[str], words: list[set[str]], labels: np.ndarray, d
         # Few rows prove little: two more are thought to lie as its languages' rows do.
         usual = expected[w] / expected[w].sum()
         p = (c + 2 * usual) / (n + 2)
-        top = p.argmax()
-        if p[top] >= 0.5 and p[top] > 2 * np.partition(p, -2)[-2] and p[top] >= 1.6 * usual[top]:
-            row = np.zeros(s, np.float32)
-            row[top] = np.log(p[top] / usual[top])
-            weights[w] = row
+        telling = (p >= LEAST_CHANCE) & (p * (1 - usual) >= LEAST_ODDS * usual * (1 - p))
+        if telling.any():
+            weights[w] = np.where(telling, np.log(p / usual), 0).astype(np.float32)
     return weights
 
 
@@ -193,7 +214,7 @@ class Chain:
         for k, s in enumerate(self.order):
             own = self.inputs(x[:, s], y[:, self.order[:k]])
             # Labels may be incomplete: a row much of which is about the subject is no proof against it.
-            sure = (y[:, s] > 0) | (x[:, s, SHARE] < UNSURE)
+            sure = (y[:, s] > 0) | (x[:, s, SHARE] < FIFTH)
             w = logistic(own[~held & sure], y[~held & sure, s])
             raw = own @ w
             use = held & sure if (held & sure).sum() > 20 else sure
@@ -218,7 +239,6 @@ class Chain:
             own = np.repeat(x[:, self.order[k]], b, 0)
             raw = self.inputs(own, labels.reshape(n * b, k)) @ self.links[k]
             p = 1 / (1 + np.exp(-np.clip(self.scales[k][0] + self.scales[k][1] * raw, -30, 30)))
-            p = np.where(own[:, SHARE] < LEAST_SHARE, 0.0, p)
             p = np.clip(p.reshape(n, b), 1e-9, 1 - 1e-9)
             both = np.concatenate([scores + np.log(1 - p), scores + np.log(p)], 1)
             grown = np.concatenate([np.concatenate([labels, np.full((n, b, 1), v)], 2) for v in (0.0, 1.0)], 1)
@@ -264,16 +284,18 @@ def fit(rows: list[tuple], descriptions: dict[str, str]) -> Model:
     if len(rows) < 40:
         return Model(final, None)
     part = np.arange(len(rows)) % 2
-    x = None
+    x, thin = None, None
+    less = np.zeros_like(labels)
     for half in (0, 1):
         own = Terms(subjects, affinities(subjects, words, labels, descriptions, part == half), sources, domains)
         at = np.flatnonzero(part == half)
-        made = own.features([rows[k][0] for k in at], [rows[k][1] for k in at], [rows[k][2] for k in at], [rows[k][3] for k in at])
+        terms, where = own.terms_of([rows[k][0] for k in at]), ([rows[k][1] for k in at], [rows[k][2] for k in at], [rows[k][3] for k in at])
+        made, (few, less[at]) = own.combined(terms, *where), thinned(terms, labels[at])
         if x is None:
-            x = np.zeros((len(rows), *made.shape[1:]))
-        x[at] = made
+            x, thin = np.zeros((len(rows), *made.shape[1:])), np.zeros((len(rows), *made.shape[1:]))
+        x[at], thin[at] = made, own.combined(few, *where)
     held = np.arange(len(rows)) % 5 == 4
-    return Model(final, Chain(x, labels, held))
+    return Model(final, Chain(np.concatenate([x, thin]), np.concatenate([labels, less]), np.concatenate([held, held])))
 
 
 def labelled(model: Model, texts: list, sources: list, domains: list, tags: list) -> list[list[tuple[str, float, float]]]:
@@ -284,13 +306,13 @@ def labelled(model: Model, texts: list, sources: list, domains: list, tags: list
     share, small = x[:, :, 1], x[:, 0, 9] if len(subjects) else None
     terms_words = np.array([len(t) for t in texts])
     if model.chain is None:
-        chosen, chance = (share >= 0.2).astype(float), share
+        chosen, chance = (share >= FIFTH).astype(float), share
     else:
         chosen, chance = model.chain.decode(x)
     out = []
     for k in range(len(texts)):
-        # Junk is what problem 1 calls so; it is asked only about texts with subjects, few common words and no main subject.
-        doubtful = len(subjects) and chosen[k].any() and small[k] < COMMON_LEAST and share[k].max() < 0.45
+        # Junk is what problem 1 calls so; it is asked about texts with subjects and few small words.
+        doubtful = len(subjects) and chosen[k].any() and small[k] < FEW_SMALL
         if not terms_words[k] or (doubtful and quality.describe(texts[k])[-1] == "junk"):
             out.append([])
             continue

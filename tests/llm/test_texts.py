@@ -193,3 +193,56 @@ def test_each_feature_of_structure_decides(monkeypatch, feature, text, body):
 def test_long_lines_of_code_are_code():
     line = "function a(b){return b.map(c=>c.d).filter(e=>e>1)};var f=a(g);h.i(function(j){k(l,m);n.o=p[q]});" * 20
     assert quality.describe(line)[-1] is None and quality.describe("\n".join([line] * 5))[-1] is None
+
+
+def _chain():
+    """Two subjects that always go together; only the first can be told by its own features."""
+    import numpy as np
+
+    random = np.random.default_rng(5)
+    y = np.repeat(random.integers(0, 2, (400, 1)), 2, 1).astype(float)
+    x = np.zeros((400, 2, 3))
+    x[:, :, 0] = 1
+    x[:, 0, subjects.SHARE] = np.where(y[:, 0] > 0, 0.3, 0.1) + random.normal(0, 0.05, 400)
+    x[:, 1, subjects.SHARE] = 0.1
+    x[:, 1, 2] = random.normal(0, 1, 400)
+    return subjects.Chain(x, y, np.arange(400) % 5 == 4), x, y
+
+
+def test_the_chain_learns_which_subjects_go_together(monkeypatch):
+    chain, x, y = _chain()
+    right = (chain.decode(x)[0] == y).all(1).mean()
+    inputs = subjects.Chain.inputs
+    monkeypatch.setattr(subjects.Chain, "inputs", staticmethod(lambda x, before: inputs(x, 0 * before)))
+    alone, _, _ = _chain()
+    assert right > 0.85 and (alone.decode(x)[0] == y).all(1).mean() < 0.65
+
+
+def test_the_beam_finds_combinations_that_the_first_step_would_leave_out():
+    import numpy as np
+
+    chain = object.__new__(subjects.Chain)
+    chain.order = np.array([0, 1])
+    # The first label is a little unlikely by itself; with it the second is sure, without it a toss-up.
+    chain.links, chain.scales = [np.array([-0.2, 0.0]), np.array([0.0, 4.0, 0.0])], [np.array([0.0, 1.0])] * 2
+    x = np.ones((1, 2, 1))
+    assert chain.decode(x, 1)[0].tolist()[0][0] == 0.0 and chain.decode(x, 8)[0].tolist() == [[1.0, 1.0]]
+
+
+def test_words_may_speak_for_two_subjects():
+    import numpy as np
+
+    rows = [{"ledger", "court"}, {"ledger", "bank"}] * 20 + [{"striker"}] * 160
+    labels = np.array([[1, 0, 0], [0, 1, 0]] * 20 + [[0, 0, 1]] * 160, float)
+    told = subjects.affinities(["law", "money", "sport"], rows, labels, {})
+    assert (told["ledger"] > 0).tolist() == [True, True, False]
+    assert (told["court"] > 0).tolist() == [True, False, False]
+
+
+def test_thinned_rows_lose_the_subjects_below_a_fifth():
+    import numpy as np
+
+    terms = np.zeros((8, 2 * 2 + 3), np.float32)
+    terms[:, 0] = 1.0
+    out, labels = subjects.thinned(terms, np.tile([1.0, 0.0], (8, 1)))
+    assert ((out[:, 0] >= subjects.FIFTH) == (labels[:, 0] > 0)).all() and 0 < labels.sum() < 8 and np.allclose(out[:, :3].sum(1), 1)
