@@ -4,6 +4,12 @@ Patterns propose spans; checksums and the words around a span move its score;
 spans of enough weight are kept. Where spans overlap, the earlier kind of
 ``KINDS`` keeps its place, then the longer one.
 
+Each form of number that a state issues comes with its check (Luhn, mod 97,
+Verhoeff, mod 11, mod 23 or a rule of ranges). A number that passes needs no
+other word; one that fails is kept only if a word right before it names what it
+is, and never with ``strict``. A bank card needs Luhn, a bank account mod 97,
+whatever stands around them.
+
 Texts are read through a view in which invisible characters are left out, odd
 spaces are plain ones and digits of any script are ASCII; found values are
 given exactly as they stand in the text.
@@ -22,7 +28,9 @@ from pyspark.sql import types as T
 
 from millrace.llm.texts import map_texts
 
-KINDS = ("email", "id_number", "phone", "address", "name")
+KINDS = ("email", "account", "card", "id_number", "phone", "address", "name")
+#: The kinds that ``find_personal`` gives unless told otherwise.
+FOUND_KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 
 # ---------------------------------------------------------------- the view of a text
@@ -83,6 +91,24 @@ def mod23(value: str) -> bool:
     return "TRWAGMYFPDXBNJZSQVHLCKE"[int(value[:-1]) % 23] == value[-1]
 
 
+def key97(digits: str) -> bool:
+    """A number whose last two digits are 97 less the rest of dividing the others by 97."""
+    return 97 - int(digits[:-2]) % 97 == int(digits[-2:])
+
+
+def mod11_twice(digits: str) -> bool:
+    """Two check digits, each from the digits before it with weights that fall to 2."""
+    for n in (len(digits) - 2, len(digits) - 1):
+        rest = sum(int(d) * (n + 1 - k) for k, d in enumerate(digits[:n])) * 10 % 11 % 10
+        if rest != int(digits[n]):
+            return False
+    return True
+
+
+def is_date(yymmdd: str) -> bool:
+    return 1 <= int(yymmdd[2:4]) <= 12 and 1 <= int(yymmdd[4:6]) <= 31
+
+
 # ---------------------------------------------------------------- e-mail
 
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
@@ -112,42 +138,72 @@ _ID_CUE = re.compile(
     r"आधार|पैन|पासपोर्ट|আধার|পাসপোর্ট|ஆதார்|பாஸ்போர்ட்)[^\d\n]{0,22}$",
     re.I,
 )
-_ID = re.compile(r"(?<![\w.+/@=-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{5}\d{4}[A-Z]|\d{2} \d{3} \d{3} \d{3}|\d{4}[ -]\d{4}[ -]\d{4}|[A-Z]{1,2}\d{6,8}[A-Z]?|\d{8}-?[A-Z]|[A-Z]\d{7}[A-Z]|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{9,12})(?![\w-]|\.\d)")
-_ID_AFTER = re.compile(r"^\)?\s+was (?:copied|recorded|noted|scanned)")
+#: What a form of number looks like, how much it says by itself, and its check (None if it has none).
+FORMS = (
+    (r"\d{3}-\d{2}-\d{4}", 0.4, lambda v, d: d[:3] not in ("000", "666") and d[3:5] != "00" and d[5:] != "0000"),
+    (r"[A-Z]{5}\d{4}[A-Z]", 0.4, lambda v, d: v[3] in "ABCFGHJLPT"),
+    (r"\d{2} \d{3} \d{3} \d{3}", 0.2, lambda v, d: d[0] != "0" and mod11_10(d)),
+    (r"\d{4}[ -]\d{4}[ -]\d{4}", 0.2, lambda v, d: d[0] > "1" and verhoeff(d)),
+    (r"\d{8}-?[A-Z]", 0.3, lambda v, d: mod23(v.replace("-", ""))),
+    (r"[XYZ]\d{7}[A-Z]", 0.3, lambda v, d: mod23(str("XYZ".index(v[0])) + v[1:])),
+    (r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]", 0.3, lambda v, d: not set(v[:2]) & set("DFIQUV") and v[1] != "O" and v[:2] not in ("BG", "GB", "KN", "NK", "NT", "TN", "ZZ")),
+    (r"\d{3}\.\d{3}\.\d{3}-\d{2}", 0.3, lambda v, d: mod11_twice(d)),
+    (r"[12] ?\d{2} ?(?:0[1-9]|1[0-2]) ?\d{2} ?\d{3} ?\d{3} ?\d{2}", 0.3, lambda v, d: key97(d)),
+    (r"\d{2}\.\d{2}\.\d{2}-\d{3}\.\d{2}", 0.3, lambda v, d: is_date(d) and (key97(d) or key97("2" + d))),
+    (r"\d{3}[ -]\d{3}[ -]\d{3}", 0.0, lambda v, d: d[0] not in "08" and luhn(d)),
+    (r"\d{6}[-+]\d{4}", 0.1, lambda v, d: is_date(d) and luhn(d)),
+    (r"\d{13}", 0.0, lambda v, d: is_date(d) and d[10] in "01" and luhn(d)),
+    (r"[A-Z]{1,2}\d{6,8}[A-Z]?", 0.0, None),
+    (r"\d{9,12}", -0.1, None),
+)
+_ID = re.compile(r"(?=[A-Z]{0,5} ?\d)(?<![\w.+/@=-])(?:" + "|".join(f"({form})" for form, _, _ in FORMS) + r")(?![\w-]|\.\d)")
 _ON_FILE = re.compile(r"(?:on file|our records)\W{0,3}$", re.I)
+#: What a check that holds, one that fails, a word that names the number and one that tells of records add to the score, and the least score.
+HOLDS, FAILS, NAMED, FILED, LEAST = 0.5, -0.2, 0.8, 0.4, 0.6
+
 
+def id_score(value: str, form: int, before: str, strict: bool = False) -> float:
+    digits = "".join(filter(str.isdigit, value))
+    score, check = FORMS[form][1], FORMS[form][2]
+    if len(set(digits)) == 1:
+        return 0.0
+    if check is not None:
+        holds = check(value, digits)
+        if strict and not holds:
+            return 0.0
+        score += HOLDS if holds else FAILS
+    return score + (NAMED if _ID_CUE.search(before) else FILED if _ON_FILE.search(before) else 0.0)
 
-def id_score(value: str, before: str, after: str) -> float:
-    digits = "".join(c for c in value if c.isdigit())
-    score = 0.0
-    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", value):
-        score = 0.7
-    elif re.fullmatch(r"[A-Z]{5}\d{4}[A-Z]", value):
-        score = 0.5
-    elif re.fullmatch(r"\d{8}-?[A-Z]", value):
-        score = 0.4 + 0.3 * mod23(value.replace("-", ""))
-    elif len(digits) == 12 and value != digits:
-        score = 0.2 + 0.3 * verhoeff(digits)
-    elif len(digits) == 11 and value != digits:
-        score = 0.2 + 0.3 * mod11_10(digits)
-    elif value == digits:
-        score = -0.1
-    if _ID_CUE.search(before):
-        score += 0.7
-    elif _ON_FILE.search(before) or _ID_AFTER.search(after):
-        score += 0.4
-    return score
-
-
-def id_numbers(text: str) -> list[tuple[int, int, str]]:
+
+def id_numbers(text: str, strict: bool = False) -> list[tuple[int, int, str]]:
     found = []
     for m in _ID.finditer(text):
         a, b = m.span()
-        if id_score(m.group(), text[max(0, a - 60) : a], text[b : b + 24]) >= 0.6:
+        if id_score(m.group(), m.lastindex - 1, text[max(0, a - 60) : a], strict) >= LEAST:
             found.append((a, b, "id_number"))
     return found
 
 
+# ---------------------------------------------------------------- bank cards and accounts
+
+_CARD = re.compile(r"(?=[2-6]\d{3})(?<![\w.+/@=-])(?:[2-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{2}([ -]?)\d{6}\2\d{5})(?![\w-]|\.\d)")
+_ACCOUNT = re.compile(r"(?=[A-Z]{2}\d\d)(?<![\w.+/@=-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w-])")
+
+
+def bank_numbers(text: str) -> list[tuple[int, int, str]]:
+    """Card numbers that Luhn confirms and account numbers that mod 97 confirms; a longer run of groups is tried without its last ones."""
+    found = [(*m.span(), "card") for m in _CARD.finditer(text) if len(set(d := "".join(filter(str.isdigit, m.group())))) > 1 and luhn(d)]
+    for m in _ACCOUNT.finditer(text):
+        a, b = m.span()
+        while b - a >= 15:
+            plain = text[a:b].replace(" ", "")
+            if len(plain) >= 15 and mod97(plain):
+                found.append((a, b, "account"))
+                break
+            b = max(text.rfind(" ", a, b), a)
+    return found
+
+
 # ---------------------------------------------------------------- phone
 
 _PHONE = re.compile(
@@ -162,8 +218,7 @@ _PHONE_CUE = re.compile(
     r"फ़ोन|फोन|दूरध्वनी|কৃপয়া|ফোন|தொலைபேசி|कृपया|संपर्क)\s?[.:]?\s*[.:]?\s*(?:\w+\s)?$",
     re.I,
 )
-_PHONE_AFTER = re.compile(r"^\s*(?:if the gate|after nine|, ask for|पर संपर्क|por la tarde|de tarde|après|an\b)")
-_NOT_PHONE = re.compile(r"(?:ISBN|ISSN|doi|DOI|order|part|item|lot|invoice|version|release|build|run|grid|ran for|number of|years|see \w+,|no\.)\W{0,3}$", re.I)
+_NOT_PHONE = re.compile(r"(?:ISBN|ISSN|doi|DOI|order|part|item|lot|invoice|version|release|build|run|grid|number of|years|see \w+,|no\.)\W{0,3}$", re.I)
 _YEARS = re.compile(r"\d{4}[-.]\d{2,4}(?:[-.]\d{2})?$")
 
 
@@ -179,7 +234,7 @@ def phones(text: str, mails: list[tuple[int, int, str]]) -> list[tuple[int, int,
             a, value = a + 1, value[1:]
         if value.endswith(")"):
             b, value = b - 1, value[:-1]
-        before, after = text[max(0, a - 30) : a], text[b : b + 16]
+        before = text[max(0, a - 30) : a]
         score = 0.0
         if "+" in value[:2] or (value.startswith("00") and n >= 10):
             score += 0.6
@@ -189,8 +244,6 @@ def phones(text: str, mails: list[tuple[int, int, str]]) -> list[tuple[int, int,
             score += 0.3
         if _PHONE_CUE.search(before):
             score += 0.6
-        elif _PHONE_AFTER.search(after):
-            score += 0.4
         if any(0 <= a - e <= 6 and "\n\n" not in text[e:a] for _, e, _ in mails):
             score += 0.5
         if _NOT_PHONE.search(before):
@@ -244,15 +297,16 @@ _BEFORE = re.compile(
 _WEAK = re.compile(r"(?:\bM\.?|\b[Ii]t was|\bI am|\b[Ii] asked|\bcolleague|[—–] ?|\b[Tt]hanks,?)[ \n]*(?:(?:#|//|--|\*) )?$")
 #: A dash that begins a line is a signature's.
 _DASHED = re.compile(r"(?:^|\n)(?:(?:#|//|--|\*) )?— ?$")
+#: What is said of persons: an age, a birth, or a verb of speaking, writing or signing.
 _AFTER = re.compile(
-    r"^(?:, (?:aged|\d{2}|born|âgée?|de \d+ años)\b|, ?\n? ?\d{1,3} years old|\s(?:signed|could not attend|war nicht|hat unterschrieben|était absente?|a signé|assinou|firmó|was absent|was born|ने हस्ताक्षर|सही केली)\b|\s?[(<\[]?\s?$)"
+    r"^(?:, (?:aged|\d{1,3}|born|âgée?|né|née|geboren|nacid[oa]|nascid[oa]|de \d+ años)\b|, ?\n? ?\d{1,3} years old|"
+    r"\s(?:said|says|wrote|writes|told|asked|replied|signed|agreed|was born|has signed|sagte|schrieb|fragte|hat (?:gesagt|geschrieben|unterschrieben)|a (?:dit|écrit|signé|répondu)|dijo|escribió|firmó|preguntó|disse|escreveu|assinou|perguntou|ने)\b)"
 )
-_SIGNED = re.compile(r"^\s(?:signed|could not attend|hat unterschrieben|war nicht|était absente?|a signé|assinou|firmó|ने)\b")
 _WEAK_AFTER = {"It was": re.compile(r"^\s(?:who|that)\b"), "I asked": re.compile(r"^\s(?:about|for|if|whether|to)\b"), "colleague": re.compile(r"^\s*[,.]")}
 _NO_NAME = frozenset(
     "The This That These Those A An And But Or If When While Although As At By For From In On Of To With Our My Your His Her Their We They You He She It There Then So No Not Nobody What Who How Why Would Could Should Most More After Before "
     "Der Die Das Den Dem Ein Eine Im Am Nach Vor Seit Wer Was Ob Man Zur Zum Trotzdem Unser Le La Les Un Une Des Du Au Dans Pour Avant Depuis El Los Las Una Por Para Desde Antes O Os As Um Uma No Na Nos Institute University College Street Road Lane Close Avenue River Lake Station "
-    "Call Write Reply Replies Please Contact Tel Email Phone Passport Chapter User Thought Action Observation Final Answer Kind Best Parcels Order Part Grid Hence Step Let Don Kontakt Interview Posted Reviewed Ring Thanks Dear On Only Plot Flat House Questions".split()
+    "Call Write Reply Replies Please Contact Tel Email Phone Passport Chapter User Thought Action Observation Final Answer Kind Best Order Part Grid Hence Step Let Don Kontakt Interview Posted Reviewed Ring Thanks Dear On Only Plot Flat House Questions".split()
 )
 _NATIVE = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x900, 0x963), (0x970, 0x9E3), (0xB80, 0xBE3))) + "]+"
 _NATIVE_NAME = rf"{_NATIVE} {_NATIVE}"
@@ -311,8 +365,8 @@ def names(text: str, mails: list[tuple[int, int, str]]) -> list[tuple[int, int,
         if own is None and len(pieces) >= 2:
             # A name at the end of the run, by what follows it.
             for n in (3, 2):
-                if len(pieces) >= n and _AFTER.search(text[b : b + 26]) and b < len(text):
-                    if (own := _grammar(text, pieces[-n:])) and own[1] == b and not (_SIGNED.search(text[b : b + 26]) is None and not re.match(r", (?:aged|\d|born|â|de )", text[b : b + 12])):
+                if len(pieces) >= n and _AFTER.search(text[b : b + 30]):
+                    if (own := _grammar(text, pieces[-n:])) and own[1] == b:
                         break
                     own = None
         if own:
@@ -341,11 +395,11 @@ def names(text: str, mails: list[tuple[int, int, str]]) -> list[tuple[int, int,
 # ---------------------------------------------------------------- the operator
 
 
-def spans(text: str) -> list[tuple[int, int, str]]:
+def spans(text: str, strict: bool = False) -> list[tuple[int, int, str]]:
     """Start, end and kind of each piece of personal information in ``text``, in order, none overlapping another."""
     seen, places = view(text)
     mails = emails(seen)
-    found = mails + (id_numbers(seen) + phones(seen, mails) + addresses(seen) if any(map(seen.__contains__, "0123456789")) else []) + names(seen, mails)
+    found = mails + (bank_numbers(seen) + id_numbers(seen, strict) + phones(seen, mails) + addresses(seen) if any(map(seen.__contains__, "0123456789")) else []) + names(seen, mails)
     rank = {k: n for n, k in enumerate(KINDS)}
     kept: list[tuple[int, int, str]] = []
     # An address holds its numbers.
@@ -367,13 +421,13 @@ def redacted(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``kind``, ``value``: each distinct piece of personal information of each row."""
+def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[str, ...] = FOUND_KINDS, strict: bool = False) -> DataFrame:
+    """``id_col``, ``kind``, ``value``: each distinct piece of personal information of each row, of ``kinds``."""
     out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])
 
     def make():
         def act(keys: list, texts: list) -> list:
-            rows = [(key, kind, value) for key, t in zip(keys, texts) if t for kind, value in dict.fromkeys((k, t[a:b]) for a, b, k in spans(t))]
+            rows = [(key, kind, value) for key, t in zip(keys, texts) if t for kind, value in dict.fromkeys((k, t[a:b]) for a, b, k in spans(t, strict) if k in kinds)]
             return [list(x) for x in zip(*rows)] if rows else [[], [], []]
 
         return act

@@ -246,3 +246,49 @@ def test_thinned_rows_lose_the_subjects_below_a_fifth():
     terms[:, 0] = 1.0
     out, labels = subjects.thinned(terms, np.tile([1.0, 0.0], (8, 1)))
     assert ((out[:, 0] >= subjects.FIFTH) == (labels[:, 0] > 0)).all() and 0 < labels.sum() < 8 and np.allclose(out[:, :3].sum(1), 1)
+
+
+CHECKED = [
+    # (text around {}, a number whose check holds, one whose check fails, kind): the first is found, the second is not.
+    ("Paid with {} last week.", "4539 5787 6362 1486", "4539 5787 6362 1487", "card"),
+    ("Paid with {} last week.", "378282246310005", "378282246310006", "card"),
+    ("Send it to {} today.", "DE89370400440532013000", "DE88370400440532013000", "account"),
+    ("Send it to {} today.", "GB82 WEST 1234 5698 7654 32", "GB83 WEST 1234 5698 7654 32", "account"),
+    ("It says {} on the form.", "529.982.247-25", "529.982.247-26", "id_number"),
+    ("It says {} on the form.", "12345678Z", "12345678A", "id_number"),
+    ("It says {} on the form.", "X1234567L", "X1234567M", "id_number"),
+    ("It says {} on the form.", "86 095 742 719", "86 095 742 718", "id_number"),
+    ("It says {} on the form.", "2 55 08 14 168 025 38", "2 55 08 14 168 025 39", "id_number"),
+    ("It says {} on the form.", "85.07.30-033.28", "85.07.30-033.29", "id_number"),
+    ("It says {} on the form.", "811228-9874", "811228-9875", "id_number"),
+    ("It says {} on the form.", "123-45-6789", "000-45-6789", "id_number"),
+    ("On file: {}", "130 692 544", "130 692 545", "id_number"),
+    ("On file: {}", "2341 2341 2346", "2341 2341 2347", "id_number"),
+]
+
+
+@pytest.mark.parametrize("around, good, bad, kind", CHECKED)
+def test_check_digits_decide(around, good, bad, kind):
+    found = lambda value: [(k, around.format(value)[a:b]) for a, b, k in personal.spans(around.format(value))]
+    assert found(good) == [(kind, good)]
+    assert kind not in [k for k, _ in found(bad)]
+
+
+@pytest.mark.parametrize("check, text", [("luhn", "It says 811228-9874 on the form, paid with 4539 5787 6362 1486."), ("mod97", "Send it to DE89370400440532013000."), ("key97", "It says 85.07.30-033.28 here."), ("verhoeff", "On file: 2341 2341 2346"), ("mod23", "It says 12345678Z here.")])
+def test_without_its_checksum_nothing_is_confirmed(monkeypatch, check, text):
+    assert personal.spans(text)
+    monkeypatch.setattr(personal, check, lambda value: False)
+    assert not [k for _, _, k in personal.spans(text) if k in ("id_number", "card", "account")]
+
+
+def test_a_word_that_names_a_number_outweighs_its_check_unless_strict():
+    text = "Aadhaar 1234 5678 9013 and SSN 000-00-0000"
+    assert [text[a:b] for a, b, _ in personal.spans(text)] == ["1234 5678 9013"]
+    assert personal.spans(text, strict=True) == []
+
+
+def test_cards_and_accounts_are_redacted_and_given_on_demand(spark):
+    df = spark.createDataFrame([(1, "Card 4539 5787 6362 1486, a@b.example")], "doc_id long, text string")
+    assert personal.redact(df).first().text == "Card [CARD], [EMAIL]"
+    assert [r.kind for r in personal.find_personal(df).collect()] == ["email"]
+    assert {r.kind for r in personal.find_personal(df, kinds=personal.KINDS).collect()} == {"card", "email"}
