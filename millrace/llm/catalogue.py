@@ -93,6 +93,25 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.find_leaks(read_table(spark, folder, "documents", "doc_id", "text"), read_table(spark, folder, "eval_items", "item_id", "text")).select("doc_id", "item_id")
 
 
+def _leak_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return read_table(spark, folder, "documents", "doc_id", "text"), read_table(spark, folder, "eval_items", "item_id", "text")
+
+
+def p8_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Each leak with the length and place of its longest stretch and of its longest verbatim match."""
+    return leakage.find_leaks(*_leak_tables(spark, folder))
+
+
+def p8_longest(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.longest_matches(*_leak_tables(spark, folder))
+
+
+def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of the documents that stay when those with leaks are removed."""
+    documents, items = _leak_tables(spark, folder)
+    return leakage.without_leaks(documents, leakage.find_leaks(documents, items)).select("doc_id")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.oversized(read_table(spark, folder, "documents", "doc_id", "text")).select("doc_id")
 
@@ -117,7 +136,7 @@ ORACLES = {k: v for k, v in ORACLES.items() if v}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_languages, p2_segments, p3_found, p3_redacted, p4_selection, p4_shares, p4_recorded_shares, p5_sequences, p5_gain, p6_found, p6_composition, p7_ids, p7_round_trip, p8_found, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_languages, p2_segments, p3_found, p3_redacted, p4_selection, p4_shares, p4_recorded_shares, p5_sequences, p5_gain, p6_found, p6_composition, p7_ids, p7_round_trip, p8_found, p8_places, p8_longest, p8_clean, p9_found, p9_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:

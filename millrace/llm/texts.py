@@ -17,13 +17,13 @@ SLICE_ROWS = 512
 SLICE_CHARS = 4_000_000
 
 
-def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[list, ...]]:
+def slices(batch: pa.RecordBatch, text_at: int, rows: int = SLICE_ROWS, chars: int = SLICE_CHARS) -> Iterator[tuple[list, ...]]:
     """The batch's columns as lists, a few rows at a time; a very long text comes in a slice of few rows."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text_at)), 0).to_pylist()
     start = 0
     while start < batch.num_rows:
         end, held = start, 0
-        while end < batch.num_rows and end - start < SLICE_ROWS and (held == 0 or held + lengths[end] <= SLICE_CHARS):
+        while end < batch.num_rows and end - start < rows and (held == 0 or held + lengths[end] <= chars):
             held += lengths[end]
             end += 1
         part = batch.slice(start, end - start)
@@ -31,7 +31,7 @@ def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[list, ...]]:
         start = end
 
 
-def map_texts(df: DataFrame, columns: list[str], text: str, out: T.StructType, make: Callable[[], Callable[..., list[list]]]) -> DataFrame:
+def map_texts(df: DataFrame, columns: list[str], text: str, out: T.StructType, make: Callable[[], Callable[..., list[list]]], rows: int = SLICE_ROWS, chars: int = SLICE_CHARS) -> DataFrame:
     """``columns`` of ``df`` through a Python function, without a shuffle of a table that is spread already.
 
     ``make()`` is called once in each task and returns a function from the
@@ -47,7 +47,7 @@ def map_texts(df: DataFrame, columns: list[str], text: str, out: T.StructType, m
 
         act = make()
         for batch in batches:
-            for lists in slices(batch, at):
+            for lists in slices(batch, at, rows, chars):
                 made = act(*lists)
                 if len(made[0]):
                     yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, schema)], schema=schema)

@@ -131,9 +131,11 @@ def test_leaks_match_brute_force():
                 part[random.randrange(len(part))] = "zz"
         texts.append(words[:10] + part + words[10:])
     ids = [np.append([items.words.get(w, 0) for w in t], 0).astype(np.int64) for t in texts]
-    found = {(d, k): n for d, k, n in leakage.leaks(np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(x) for x in ids]), items)}
+    begins = np.cumsum([0, *map(len, ids)])
+    shard = leakage.Shard(np.concatenate(ids), items)
+    told = {(d, k): (n, at - begins[d], run) for d, k, n, at, run in leakage.leaks(shard, leakage.parted(begins))}
     want = {}
-    for d, doc in enumerate(ids):
+    for d, doc in enumerate(x[:-1] for x in ids):
         for k, item in enumerate(items.arrays):
             best = 0
             for shift in range(-len(item), len(doc)):
@@ -145,7 +147,64 @@ def test_leaks_match_brute_force():
                             best = max(best, b - a)
             if best:
                 want[d, k] = best
-    assert set(found) == set(want)
+    assert {k: n for k, (n, _, _) in told.items()} == want
+    for (d, k), (n, at, run) in told.items():
+        part = ids[d][at : at + n].tolist()
+        item = items.arrays[k].tolist()
+        assert any(sum(x != y for x, y in zip(part, item[a : a + n])) * leakage.EXCHANGED <= n for a in range(len(item) - n + 1)) and run >= items.seeds[k]
+
+
+def test_the_suffix_array_is_in_full_order_and_gives_the_longest_matches():
+    import numpy as np
+
+    random.seed(3)
+    items = leakage.Items([(k, " ".join(random.choice("abcde") for _ in range(random.randint(8, 30)))) for k in range(5)])
+    words = np.array([random.choice([0, 1, 2, 3, 4, 5]) if random.random() < 0.2 else random.choice([1, 2, 3, 4, 5]) for _ in range(600)])
+    words[100:112] = items.arrays[0][-12:]
+    shard = leakage.Shard(words, items)
+    # A suffix is compared up to the first word that no item has.
+    cut = lambda a: tuple(words[a:][: np.argmax(np.append(words[a:], 0) == 0)][: items.longest])
+    assert [cut(a) for a in shard.all] == sorted(map(cut, shard.all)) and len(set(shard.all)) == len(shard.all)
+    shortest = min(items.suffixes)
+    assert sorted(shard.all) == [a for a in range(600 - shortest + 1) if (words[a : a + shortest] > 0).all()]
+    seen = 0
+    for found in shard.searched():
+        starts, which, at, *_ = found
+        matched, where = shard.longest(*found)
+        for w, a, n, b in zip(which, at, matched, where):
+            item = items.arrays[w][a:]
+            shared = lambda p: next((k for k, (x, y) in enumerate(zip([*item, -1], [*words[p:], -2])) if x != y))
+            assert n == max(map(shared, starts)) == shared(b)
+            seen += 1
+    assert seen > 20
+
+
+def test_hot_seeds_are_searched_in_bounded_blocks(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(leakage, "CELLS", 100)
+    items = leakage.Items([(1, "a b a b a b a b c d e f")])
+    words = np.array([items.words["a"], items.words["b"]] * 400 + [0])
+    assert [(d, k, n, run) for d, k, n, _, run in leakage.leaks(leakage.Shard(words, items), leakage.parted(np.array([0, 801])))] == [(0, 0, 9, 8)]
+
+
+def test_leaking_documents_are_removed(spark):
+    corpus = spark.createDataFrame([(1, ITEMS[0], "x"), (2, "nothing here", "y"), (2, "nothing here", "y"), (None, "no id", None)], "doc_id long, text string, words string")
+    items = spark.createDataFrame([(7, ITEMS[0])], "item_id long, text string")
+    leaks = leakage.find_leaks(corpus, items)
+    row = leaks.first()
+    assert (row.doc_id, row.item_id, row.words, row.first_word, row.verbatim) == (1, 7, row.item_words, 0, row.item_words)
+    assert [tuple(r) for r in leakage.longest_matches(corpus, items).collect()] == [(7, row.item_words, 0, 1, 0)]
+    assert leakage.longest_matches(corpus, items.limit(0)).count() == 0 and leakage.longest_matches(corpus.limit(0), items).count() == 0
+    kept = leakage.without_leaks(corpus, leaks)
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 2, 2] and kept.columns == corpus.columns
+
+
+def test_items_beyond_a_block_are_searched_in_several(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "ITEM_CHARS", 100)
+    corpus = spark.createDataFrame([(1, ITEMS[0]), (2, ITEMS[1])], "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEMS[0]), (2, ITEMS[1])], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(corpus, items).collect()} == {(1, 1), (2, 2)}
 
 
 def test_packing_keeps_documents_whole(spark):
