@@ -3,15 +3,20 @@
 Words are vectors of hashed character n-grams weighted by TF-IDF; a stretch
 (what stands between sentence ends, line breaks and markup) is the sum of its
 words, made unit length, and is compared by cosine with several centroids of
-each language. The centroids are clustered from a bounded sample of labelled
-rows, after rows that lie nearer to another label's centroid have been left
-out of the sample, because labels may be wrong. Centroids of texts labelled as
-having no language (source code and the like) reject by being nearest, a least
-cosine by distance.
+each language. The languages are those that the labels of a bounded sample of
+rows name; the centroids are clustered from these rows, after rows that lie
+nearer to another label's others than to their own label's have been left out,
+because labels may be wrong. A stretch is rejected if it lies farther from all
+centroids of its nearest language than nearly all stretches of that language's
+own rows of its size do, or nearest to the centroids of texts labelled as
+having no language (source code and the like). Confidences are calibrated on
+the sample: what share of stretches with such a lead over the next language
+were of the language.
 
 As dot products are linear in the words, each distinct word is scored once in a
-worker and remembered, with a projection of its vector on fixed random signs,
-from which the length of a sum is estimated.
+worker and remembered, with a projection of its vector on fixed random signs.
+From that the length of a sum is estimated (standard error one eighth); wherever
+the estimate leaves the rejection open, the length is counted from the n-grams.
 
 Defined results: null, empty and blank texts and texts without letters have no
 language; repeated rows are repeated; with no labelled rows at all the
@@ -31,35 +36,33 @@ from pyspark.sql import types as T
 from millrace.llm import quality
 from millrace.llm.texts import map_texts
 
-LANGUAGES = ("en", "de", "fr", "es", "pt", "hi", "mr", "bn", "ta")
 NONE = "zxx"
+#: Codes that say nothing of the language.
+SILENT = ("", "und", "unk", "mul", "mis", "xx", "none", "null", "unknown", "n/a", "na", "qaa")
 #: Codes of the same language, and codes that say that there is none.
 CODES = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "por": "pt", "hin": "hi", "mar": "mr", "ben": "bn", "tam": "ta", "zxx": NONE, "code": NONE}
 
 #: Bounds of the training sample: rows of each label, and characters of a row. Rows are chosen by a hash of their id.
 SAMPLE_ROWS, SAMPLE_CHARS = 200, 6_000
 DIMENSIONS, PROJECTION = 16384, 32
-CLUSTERS, CLUSTERS_NONE = 6, 8
+CLUSTERS, CLUSTERS_NONE = 4, 6
 LEAST_SHARE = 0.1
 BLOCK_LETTERS = 40
 NEARER = 0.85
+#: The cosine that this share of a language's own stretches do not reach, of which a stretch must reach this part; sizes (letters) up to which stretches are measured together; how many times the projection's standard error an estimate must clear.
+REJECTED, NEAR, SIZES, CLEAR = 0.005, 0.7, (20, 40, 80, 160), 3.0
 REMEMBERED = 300_000
 
 _MARKS = quality._MARKS
-_TOKEN = re.compile(rf"<[^<>]{{1,200}}>|\S+@\S+|https?://\S+|[^\W\d_](?:[{_MARKS}]|[^\W\d_])*|[\n.!?।॥:|;]+")
+_TOKEN = re.compile(rf"<[^<>]+>|\S+@\S+|https?://\S+|[^\W\d_](?:[{_MARKS}]|[^\W\d_])*|[\n.!?।॥:|;]+")
 _HAS_LETTER = re.compile(r"[^\W\d_]")
 
 
 def label_of(column: Column) -> Column:
-    """The language a label names: one of LANGUAGES, NONE, or null if it says nothing or names another."""
+    """The language a label names (NONE for code and the like), or null if it says nothing."""
     main = F.split(F.lower(F.trim(column)), "[-_ ]").getItem(0)
-    known = F.create_map(*[F.lit(x) for pair in (CODES | {x: x for x in LANGUAGES}).items() for x in pair])
-    return known[main]
-
-
-def says_nothing(column: Column) -> Column:
-    main = F.split(F.lower(F.trim(F.coalesce(column, F.lit("")))), "[-_ ]").getItem(0)
-    return main.isin("", "und", "unk", "mul", "mis", "xx", "none", "null", "unknown", "n/a", "na", "qaa")
+    known = F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair])
+    return F.when(~main.isin(*SILENT) & main.rlike("^[a-z]{2,8}$"), F.coalesce(known[main], main))
 
 
 def ngrams(word: str) -> list[int]:
@@ -77,15 +80,21 @@ def is_word(token: str) -> bool:
 
 
 class Model:
-    """Centroids (rows), the language of each, inverse document frequencies and the least cosine."""
+    """Centroids (rows), the language of each, inverse document frequencies, the least cosine by language and size, and the calibration of leads."""
+
+    def __init__(self, idf: np.ndarray, centroids: np.ndarray, languages: list[str]):
+        self.idf, self.centroids, self.languages = idf, centroids, languages
+        self.names = [*sorted(set(languages) - {NONE}), NONE]
+        self.least = np.zeros((len(self.names), len(SIZES) + 1), np.float32)
+        self.sure = np.array([0.0, 2.0])
 
-    def __init__(self, idf: np.ndarray, centroids: np.ndarray, languages: list[str], least: float):
-        self.idf, self.centroids, self.languages, self.least = idf, centroids, languages, least
+    def confidence(self, lead: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.sure[0] + self.sure[1] * lead, -30, 30)))
 
 
 def fit(rows: list[tuple[str, str]]) -> Model:
-    """A model from (label, text) rows; labels of LANGUAGES and NONE."""
-    rows = [*rows, *((lang, " ".join(ws)) for lang, ws in quality.COMMON.items() for _ in range(2))]
+    """A model from (label, text) rows; labels as ``label_of`` gives them. Without any rows, from the seed words."""
+    rows = rows or [(lang, " ".join(ws)) for lang, ws in quality.COMMON.items() for _ in range(2)]
     memory: dict[str, np.ndarray] = {}
 
     def count(text: str, into: np.ndarray) -> None:
@@ -108,23 +117,60 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     names = sorted(set(labels))
     own = labels.copy()
     for _ in range(3):
-        means = np.stack([unit(matrix[own == n].mean(0)) if (own == n).any() else unit(matrix[labels == n].mean(0)) for n in names])
-        nearest = np.array(names)[(matrix @ means.T).argmax(1)]
-        own = np.where(nearest == labels, labels, "")
-        # A language too rarely labelled to judge by keeps all its rows.
-        for n in names:
-            if (own == n).sum() < 2:
-                own[labels == n] = n
-    centroids, of, least = [], [], []
+        sums = np.stack([matrix[own == n].sum(0) for n in names])
+        lengths = np.sqrt(np.einsum("ij,ij->i", sums, sums))
+        near = matrix @ sums.T
+        # To its own label's rows a row is compared without itself.
+        alike = near / (lengths + 1e-9)
+        for k, n in enumerate(names):
+            at = np.flatnonzero(own == n)
+            alike[at, k] = (near[at, k] - 1) / np.sqrt(np.maximum(lengths[k] ** 2 - 2 * near[at, k] + 1, 1e-9))
+        own = np.where(np.array(names)[alike.argmax(1)] == labels, labels, "")
+    centroids, of = [], []
     for n in names:
         members = matrix[own == n]
-        for c in clustered(members, CLUSTERS_NONE if n == NONE else CLUSTERS):
-            centroids.append(c)
-            of.append(n)
-        if n != NONE and len(members) > 4:
-            best = (members @ np.stack([c for c, o in zip(centroids, of) if o == n]).T).max(1)
-            least.append(float(np.quantile(best, 0.02)))
-    return Model(idf, np.stack(centroids).astype(np.float32), of, 0.3 * min(least, default=0.3))
+        if len(members) >= 2 or n == NONE and len(members):
+            for c in clustered(members, CLUSTERS_NONE if n == NONE else CLUSTERS):
+                centroids.append(c)
+                of.append(str(n))
+    if not centroids:
+        return fit([])
+    model = Model(idf, np.stack(centroids).astype(np.float32), of)
+    del matrix
+    calibrate(model, [r for r, kept in zip(rows, own) if kept])
+    return model
+
+
+def calibrate(model: Model, rows: list[tuple[str, str]]) -> None:
+    """The least cosines and the confidences, from the stretches of labelled rows."""
+    scorer = Scorer(model, exact=True)
+    held: dict[tuple, list] = {}
+    leads, right = [], []
+    for (label, _), blocks in zip(rows, scorer.languages_of([t for _, t in rows])):
+        for k, top, second, letters in blocks:
+            if label == NONE or label not in model.names:
+                continue
+            is_own = model.names[k] == label
+            leads.append((top - second) / (abs(top) + 1e-9))
+            right.append(float(is_own))
+            if is_own:
+                held.setdefault((k, int(np.searchsorted(SIZES, letters))), []).append(top)
+    for k in range(len(model.names) - 1):
+        told = 0.0
+        # A size without stretches takes the least of the size below it.
+        for size in range(len(SIZES) + 1):
+            cosines = held.get((k, size), [])
+            if len(cosines) >= 20:
+                told = max(told, float(np.quantile(cosines, REJECTED)))
+            model.least[k, size] = NEAR * told
+    if 0 < sum(right) < len(right):
+        x, y = np.stack([np.ones(len(leads)), np.array(leads)], 1), np.array(right)
+        w = np.zeros(2)
+        for _ in range(20):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2), x.T @ (p - y) + 0.01 * w)
+        if w[1] > 0:
+            model.sure = w
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -132,33 +178,31 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def clustered(members: np.ndarray, k: int) -> list[np.ndarray]:
-    """Unit centroids of a spherical k-means; the first seeds lie farthest apart."""
+    """Unit centroids of a spherical k-means; the first ones are the means of parts of like distance from the mean of all."""
     k = max(1, min(k, len(members) // 8))
-    seeds = [unit(members.mean(0))]
-    while len(seeds) < k:
-        near = np.max(members @ np.stack(seeds).T, 1)
-        seeds.append(members[near.argmin()])
-    centroids = np.stack(seeds)
+    order = np.argsort(members @ unit(members.mean(0)), kind="stable")
+    centroids = np.stack([unit(members[part].mean(0)) for part in np.array_split(order, k)])
     for _ in range(8):
         which = (members @ centroids.T).argmax(1)
         centroids = np.stack([unit(members[which == c].mean(0)) if (which == c).any() else centroids[c] for c in range(k)])
     counts = np.bincount((members @ centroids.T).argmax(1), minlength=k)
-    return [c for c, n in zip(centroids, counts) if n >= max(2, 0.02 * len(members))] or [unit(members.mean(0))]
+    return [c for c, n in zip(centroids, counts) if n >= 2] or [unit(members.mean(0))]
 
 
 class Scorer:
     """A model with the scores of the words met so far."""
 
-    def __init__(self, model: Model):
-        self.model = model
+    def __init__(self, model: Model, exact: bool = False):
+        self.model, self.exact = model, exact
         self.signs = np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (DIMENSIONS, PROJECTION)) / np.sqrt(np.float32(PROJECTION))
         self.columns = np.concatenate([model.centroids.T, self.signs], 1) * model.idf[:, None]
-        self.languages = [*LANGUAGES, NONE]
+        self.languages = model.names
         self.of = [[k for k, n in enumerate(model.languages) if n == lang] for lang in self.languages]
         self.clear()
 
     def clear(self) -> None:
         self.numbers: dict[str, int] = {}
+        self.grams = [np.empty(0, np.int16)]
         self.scores = np.zeros((1 << 14, self.columns.shape[1]), np.float32)
         self.letters = np.zeros(1 << 14, np.int32)
         self.used = 1
@@ -172,7 +216,9 @@ class Scorer:
         if k == len(self.letters):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        self.scores[k] = self.columns[ngrams(token[:64])].sum(0)
+        found = np.array(ngrams(token), np.int16)
+        self.grams.append(found)
+        self.scores[k] = self.columns[found].sum(0)
         self.letters[k] = len(token)
         self.used = k + 1
         self.numbers[token] = k
@@ -182,8 +228,13 @@ class Scorer:
         get, make = self.numbers.get, self.number
         return np.array([k if (k := get(t)) is not None else make(t) for t in tokens(text)], np.int64)
 
+    def length_of(self, ids: np.ndarray) -> float:
+        """The length of the vector of words, counted from their n-grams."""
+        told, counts = np.unique(np.concatenate([self.grams[k] for k in ids.tolist()]), return_counts=True)
+        return float(np.linalg.norm(counts * self.model.idf[told])) + 1e-9
+
     def languages_of(self, texts: list[str]) -> list[list[tuple[int, float, float, int]]]:
-        """For each text, its blocks with letters: (place of the language or -1, cosine, cosine of the next language, letters).
+        """For each text, its blocks with letters: (place of the language or -1 if rejected, cosine, cosine of the next language, letters).
 
         A block is a stretch of at least BLOCK_LETTERS letters or the least number of stretches that hold as many together.
         """
@@ -214,6 +265,7 @@ class Scorer:
             size = np.add.reduceat(self.letters[ids], at)
             n = len(self.model.languages)
             length = np.linalg.norm(sums[:, n:], axis=1) + 1e-9
+            ends = np.append(starts, len(ids))[np.array(blocks, np.int64) + 1]
             by = np.full((len(at), len(self.languages)), -1.0, np.float32)
             for c, columns in enumerate(self.of):
                 if columns:
@@ -227,9 +279,16 @@ class Scorer:
             main = whole.argmax(1)[of]
             first = by.argmax(1)
             first = np.where(by[rows, main] >= NEARER * by[rows, first], main, first)
+            least = self.model.least[first, np.searchsorted(SIZES, size)]
+            top = by[rows, first]
+            # The estimate of the length may be wrong by a few standard errors; where that matters, it is counted.
+            error = CLEAR * (0.5 / PROJECTION) ** 0.5
+            doubtful = self.exact | ((top * (1 - error) < least) & (least <= top * (1 + error)))
+            for k in np.flatnonzero(doubtful & (size > 0)):
+                by[k] *= length[k] / self.length_of(ids[at[k] : ends[k]])
             top = by[rows, first]
             by[rows, first] = -1.0
-            made = list(zip(np.where(top < self.model.least, -1, first).tolist(), top.tolist(), by.max(1).tolist(), size.tolist()))
+            made = list(zip(np.where((top < least) & (not self.exact), -1, first).tolist(), top.tolist(), by.max(1).tolist(), size.tolist()))
             k = 0
             for n in held:
                 found.append([r for r in made[k : k + n] if r[3]])
@@ -263,10 +322,10 @@ class Scorer:
         for a, b, blocks in zip(edges, edges[1:], self.languages_of([text[a:b] for a, b in zip(edges, edges[1:])])):
             if b <= a:
                 continue
-            lang = LANGUAGES[blocks[0][0]] if blocks and 0 <= blocks[0][0] < len(LANGUAGES) else None
+            lang = self.languages[blocks[0][0]] if blocks and blocks[0][0] >= 0 else None
             n = sum(x[3] for x in blocks)
             if lang in wanted and n >= BLOCK_LETTERS or (lang in wanted and not out):
-                sure = max(0.0, min(1.0, 0.5 + (blocks[0][1] - blocks[0][2]) / (2 * abs(blocks[0][1]) + 1e-9)))
+                sure = float(self.model.confidence((blocks[0][1] - blocks[0][2]) / (abs(blocks[0][1]) + 1e-9)))
                 if out and out[-1][2] == lang:
                     out[-1][1], out[-1][3], out[-1][4] = b, out[-1][3] + sure * n, out[-1][4] + n
                 else:
@@ -276,19 +335,18 @@ class Scorer:
         return [(a, b, lang, held / max(1, n)) for a, b, lang, held, n in out]
 
 
-def summary(stretches: list[tuple]) -> tuple[list[tuple[str, float, float]], float]:
+def summary(model: Model, stretches: list[tuple]) -> tuple[list[tuple[str, float, float]], float]:
     """(language, share of the letters, confidence), the largest first, and the share of letters of no language."""
     total = sum(s[3] for s in stretches)
     if not total:
         return [], 0.0
     by: dict[int, list[float]] = {}
     for k, top, second, n in stretches:
-        held = by.setdefault(k, [0.0, 0.0, 0])
+        held = by.setdefault(k, [0.0, 0.0])
         held[0] += n
-        held[1] += n * max(0.0, min(1.0, 0.5 + (top - second) / (2 * abs(top) + 1e-9)))
-        held[2] += 1
-    none = sum(by[k][0] for k in (-1, len(LANGUAGES)) if k in by) / total
-    rows = [(LANGUAGES[k], held[0] / total, held[1] / held[0]) for k, held in by.items() if 0 <= k < len(LANGUAGES)]
+        held[1] += n * (top - second) / (abs(top) + 1e-9)
+    none = sum(by[k][0] for k in (-1, len(model.names) - 1) if k in by) / total
+    rows = [(model.names[k], held[0] / total, float(model.confidence(held[1] / held[0]))) for k, held in by.items() if 0 <= k < len(model.names) - 1]
     return sorted(rows, key=lambda r: (-r[1], r[0])), none
 
 
@@ -305,20 +363,23 @@ def sample(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_
     return [(r.label, r.t) for r in rows.where(keep).select("label", "t").orderBy("label", "t").collect()]
 
 
+#: The least confidence and share of the letters of a second language in a list or table.
+SURE, LEAST_LISTED = 0.95, 0.25
 FOUND = T.ArrayType(T.StructType([T.StructField("lang", T.StringType(), False), T.StructField("share", T.DoubleType(), False), T.StructField("confidence", T.DoubleType(), False)]), False)
-#: Words without the small words that bind sentences tell languages apart less surely.
-SURE = 0.7
 
 
-def judged(text: str, blocks: list[tuple], label: str | None) -> tuple[str | None, list[tuple[str, float, float]]]:
-    """The kind of a text (``text``, ``none`` for source code and junk, null without letters) and its languages of a tenth of the letters or more.
+def judged(model: Model, text: str, blocks: list[tuple], label: str | None) -> tuple[str | None, list[tuple[str, float, float]]]:
+    """The kind of a text (``text``, ``none`` for source code, junk and what no language is near, null without letters) and its languages of a tenth of the letters or more.
 
-    A text that its label agrees with needs no second look; of any other, the
-    statistics of problem 1 tell whether it is natural language.
+    The label decides nothing; a text in one language that its label names
+    only needs no second look. Of any other, the statistics of problem 1 tell
+    whether it is natural language. Words of lists and tables stand without
+    what binds sentences and tell languages apart less surely, so that a second
+    language must hold more of them.
     """
     if not blocks:
         return None, []
-    found, none = summary(blocks)
+    found, none = summary(model, blocks)
     found = [f for f in found if f[1] >= LEAST_SHARE]
     if none > 0.5 or not found:
         return "none", []
@@ -328,10 +389,7 @@ def judged(text: str, blocks: list[tuple], label: str | None) -> tuple[str | Non
     if told["body"] == "junk" or (told["body"] is None and told["code_share"] > 0.5):
         return "none", []
     if told["body"] in ("list", "table"):
-        sure = [f for f in found if f[2] >= SURE]
-        if label in LANGUAGES and not any(f[0] != label for f in sure):
-            return "text", [(label, 1.0, next((f[2] for f in found if f[0] == label), 0.5))]
-        found = sure or found[:1]
+        found = found[:1] + [f for f in found[1:] if f[2] >= SURE and f[1] >= LEAST_LISTED]
     return "text", found
 
 
@@ -352,7 +410,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
         scorer = Scorer(shared.value)
 
         def act(keys: list, texts: list, labels: list) -> list:
-            told = [judged(t, b, label) for t, b, label in zip(texts, scorer.languages_of(texts), labels)]
+            told = [judged(scorer.model, t, b, label) for t, b, label in zip(texts, scorer.languages_of(texts), labels)]
             return [keys, [k for k, _ in told], [f[0][0] if f else None for _, f in told], [f[0][2] if f else None for _, f in told], [[{"lang": a, "share": b, "confidence": c} for a, b, c in f] for _, f in told]]
 
         return act
@@ -372,7 +430,7 @@ def segments(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", labe
         def act(keys: list, texts: list, labels: list) -> list:
             rows = []
             for key, text, blocks, label in zip(keys, texts, scorer.languages_of(texts), labels):
-                kind, found = judged(text, blocks, label)
+                kind, found = judged(scorer.model, text, blocks, label)
                 if kind != "text" or len(found) < 2:
                     continue
                 for k, (a, b, lang, sure) in enumerate(scorer.placed(text, {f[0] for f in found})):
@@ -400,7 +458,7 @@ def mislabelled(documents: DataFrame, shards: DataFrame, model: Model | None = N
         def act(keys: list, texts: list, labels: list, owners: list) -> list:
             rows = []
             for key, text, blocks, label, owner in zip(keys, texts, scorer.languages_of(texts), labels, owners):
-                kind, found = judged(text, blocks, label)
+                kind, found = judged(scorer.model, text, blocks, label)
                 if kind == "text" and (len(found) > 1 or found[0][0] != label):
                     rows += [("document", key, f[0]) for f in found]
                 if kind and owner is not None:

@@ -46,7 +46,7 @@ def model():
 def test_languages(model):
     scorer = language.Scorer(model)
     texts = [PROSE, GERMAN, f"{PROSE}\n{FRENCH}", "", "123 456", None]
-    told = [language.judged(t, b, None) for t, b in zip(texts, scorer.languages_of(texts))]
+    told = [language.judged(model, t, b, None) for t, b in zip(texts, scorer.languages_of(texts))]
     assert [k for k, _ in told] == ["text", "text", "text", None, None, None]
     assert told[0][1][0][0] == "en" and told[1][1][0][0] == "de" and {f[0] for f in told[2][1]} == {"en", "fr"}
     placed = scorer.placed(texts[2], {"en", "fr"})
@@ -64,11 +64,62 @@ def test_mislabelled(spark, model):
 
 
 def test_labels(spark):
-    rows = spark.createDataFrame([("EN",), ("eng",), ("en_US",), ("code-python",), ("und",), ("",), (None,), ("xx-XX",)], "l string")
+    rows = spark.createDataFrame([("EN",), ("eng",), ("en_US",), ("code-python",), ("it-IT",), ("und",), ("",), (None,), ("xx-XX",), ("?",)], "l string")
     from pyspark.sql import functions as F
 
-    assert [r[0] for r in rows.select(language.label_of(F.col("l"))).collect()] == ["en", "en", "en", "zxx", None, None, None, None]
-    assert [r[0] for r in rows.select(language.says_nothing(F.col("l"))).collect()] == [False] * 4 + [True] * 4
+    assert [r[0] for r in rows.select(language.label_of(F.col("l"))).collect()] == ["en", "en", "en", "zxx", "it"] + [None] * 5
+
+
+ITALIAN = ["Il fiume attraversava la valle perché gli abitanti della città lo avevano chiesto, e nessuno voleva riparare il vecchio ponte.", "Alla fine tornarono tutti a casa, perché nella piazza del paese non c'era più nessuno che volesse parlare con loro."]
+SPANISH = ["El río cruzaba el valle porque la gente del pueblo lo había pedido, y nadie quería reparar el viejo puente.", "Al final todos volvieron a casa, porque en la plaza del pueblo no quedaba nadie que quisiera hablar con ellos."]
+
+
+def _spoken(*languages):
+    """Rows in several languages, each text a little different."""
+    told = {"en": PROSE.split(". "), "de": GERMAN.split(". "), "es": SPANISH, "it": ITALIAN}
+    return [(lang, f"{told[lang][k % 2]} {told[lang][(k + 1) % 2]} {k}") for lang in languages for k in range(30)]
+
+
+def test_languages_come_from_the_labels_and_others_are_rejected():
+    text = ITALIAN[0]
+    without = language.fit(_spoken("en", "de", "es"))
+    assert without.names == ["de", "en", "es", "zxx"]
+    scorer = language.Scorer(without)
+    assert [language.judged(without, t, b, "it")[0] for t, b in zip([text], scorer.languages_of([text]))] == ["none"]
+    assert [language.judged(without, t, b, None)[1][0][0] for t, b in zip(SPANISH, scorer.languages_of(SPANISH))] == ["es", "es"]
+    learned = language.fit(_spoken("en", "de", "es", "it"))
+    found = [language.judged(learned, t, b, "it") for t, b in zip([text], language.Scorer(learned).languages_of([text]))]
+    assert "it" in learned.names and found[0][1][0][0] == "it" and 0.5 < found[0][1][0][2] <= 1
+
+
+def test_a_few_rows_with_a_wrong_label_make_no_language():
+    wrong = [("it", text) for _, text in _spoken("en")[:3]]
+    assert language.fit(_spoken("en", "de") + wrong).names == ["de", "en", "zxx"]
+
+
+def test_lengths_are_counted_where_the_estimate_leaves_rejection_open():
+    import numpy as np
+
+    model = language.fit(_spoken("en", "de"))
+    scorer, exact = language.Scorer(model), language.Scorer(model, exact=True)
+    for text in (PROSE, GERMAN):
+        ids = exact.ids(text)
+        grams = [g for w in language.tokens(text) if language.is_word(w) for g in language.ngrams(w)]
+        want = np.linalg.norm(np.bincount(grams, minlength=language.DIMENSIONS) * model.idf)
+        assert abs(exact.length_of(ids) - want) < 1e-3 * want
+    model.least[:] = exact.languages_of([PROSE])[0][0][1]
+    asked = []
+    counted = scorer.length_of
+    scorer.length_of = lambda ids: asked.append(1) or counted(ids)
+    scorer.languages_of([PROSE])
+    assert asked
+
+
+def test_long_words_and_long_tags_count_whole(model):
+    word = "donaudampfschifffahrtsgesellschaftskapitän" * 4
+    assert language.Scorer(model).ids(word)[0] > 0 and len(language.ngrams(word)) > 600
+    tag = '<a href="' + "und die das " * 60 + '">'
+    assert [t for t in language.tokens(tag) if language.is_word(t)] == []
 
 
 PERSONAL = [
