@@ -5,6 +5,8 @@ through a bitset with one bit for each amount of free space. A document goes to
 the open bin that it leaves the least room in; if none has room, a new bin is
 opened, and beyond ``open_bins`` the fullest one closes first. One pass over
 the rows with a bounded memory, so a task streams through any number of them.
+With ``repack``, the items of the bins still open at the end of a task are put
+in anew, the longest first, which is no online packing and so not the default.
 
 Only a document longer than the capacity is split: into full sequences and a
 rest that is packed as a document of its own.
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.sources.tables import spread
+
 CAPACITY, OPEN_BINS, PAD = 2048, 512, 0
 
 SPAN = T.StructType(
@@ -79,8 +83,12 @@ class Bins:
             self.count += 1
         return closed
 
-    def rest(self) -> list[list]:
-        """The bins still open at the end, their items (a bounded number) put in anew from the longest on."""
+    def rest(self, repack: bool = False) -> list[list]:
+        """The bins still open at the end; with ``repack`` their items (a bounded number) are put in anew from the longest on."""
+        if not repack:
+            closed = [b for room in sorted(self.by_room) for b in self.by_room[room]]
+            self.by_room, self.rooms, self.count = {}, 0, 0
+            return closed
         items = sorted((i for room in sorted(self.by_room) for b in self.by_room[room] for i in b), key=lambda i: -i[2])
         again = Bins(self.capacity, max(1, len(items)))
         closed = [b for i in items for b in again.put(i, i[2])]
@@ -89,21 +97,21 @@ class Bins:
         return closed
 
 
-def pack(df: DataFrame, keys: list[str] = ("shard_id", "pos", "doc_id"), id_col: str = "doc_id", tokens_col: str = "tokens", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, with_ids: bool = True) -> DataFrame:
+def pack(df: DataFrame, keys: list[str] = ("shard_id", "pos", "doc_id"), id_col: str = "doc_id", tokens_col: str = "tokens", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, with_ids: bool = True, repack: bool = False) -> DataFrame:
     """Sequences of the distinct rows of ``df``: ``sequence_id``, ``sample_ids``, ``spans``, ``used``, ``utilization``, ``padding_count`` and, if wanted, ``input_ids``.
 
-    Rows are brought together by all their ``keys`` and tokens, to drop the
-    repeated ones; that spreads a hot shard as well. Bins are filled within the
-    partitions of that one shuffle.
+    Only hashes of the rows are brought together: a row whose hash no other has
+    stays where it was read, and of the others the distinct ones are taken.
+    Bins are filled within the partitions of the scan.
     """
     keys = list(dict.fromkeys([*keys, id_col]))
-    rows = df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{tokens_col}`").alias("_tokens")).where(F.size("_tokens") > 0).distinct()
-    order = F.xxhash64(*[F.col(f"`{k}`") for k in keys])
-    if with_ids:
-        rows = rows.select(F.col(f"`{id_col}`").cast("string").alias("_id"), F.size("_tokens").alias("_n"), "_tokens", order.alias("_order"))
-    else:
-        rows = rows.select(F.col(f"`{id_col}`").cast("string").alias("_id"), F.size("_tokens").alias("_n"), order.alias("_order"))
-    rows = rows.sortWithinPartitions("_order", "_id", "_n").drop("_order")
+    rows = spread(df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{tokens_col}`").alias("_tokens"))).where(F.size("_tokens") > 0)
+    rows = rows.withColumn("_hash", F.xxhash64(*[F.col(f"`{k}`") for k in keys], "_tokens"))
+    shared = rows.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash")
+    # A hash that two different rows share does no harm: rows are compared whole here.
+    several = rows.join(shared, "_hash", "left_semi").distinct()
+    rows = rows.join(shared, "_hash", "left_anti").unionByName(several)
+    rows = rows.select(F.col(f"`{id_col}`").cast("string").alias("_id"), F.size("_tokens").alias("_n"), *(["_tokens"] if with_ids else []))
 
     out = [
         T.StructField("sequence_id", T.StringType(), False),
@@ -167,7 +175,7 @@ def pack(df: DataFrame, keys: list[str] = ("shard_id", "pos", "doc_id"), id_col:
                 if len(closed) >= 256:
                     yield emit(closed)
                     closed = []
-        closed += bins.rest()
+        closed += bins.rest(repack)
         for k in range(0, len(closed), 256):
             yield emit(closed[k : k + 256])
 
@@ -184,11 +192,13 @@ def recorded(df: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def gain(documents: DataFrame, packed: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """Utilization of this packing beside each recorded policy: ``policy``, ``sequences``, ``used``, ``utilization``, ``padding_count``, ``gain``.
 
-    Ours is the row ``bounded_best_fit``; ``gain`` is its utilization less the row's.
+    Ours is the row ``bounded_best_fit``, and with the open bins packed anew
+    ``bounded_best_fit_repacked``; ``gain`` is the first one's utilization less the row's.
     """
-    own = pack(documents, capacity=capacity, open_bins=open_bins, with_ids=False)
-    ours = own.agg(F.lit("bounded_best_fit").alias("policy"), F.count("*").alias("sequences"), F.coalesce(F.sum("used"), F.lit(0)).cast("long").alias("used"))
-    rows = ours.unionByName(recorded(packed, capacity))
+    rows = recorded(packed, capacity)
+    for name, again in (("bounded_best_fit", False), ("bounded_best_fit_repacked", True)):
+        own = pack(documents, capacity=capacity, open_bins=open_bins, with_ids=False, repack=again)
+        rows = rows.unionByName(own.agg(F.lit(name).alias("policy"), F.count("*").alias("sequences"), F.coalesce(F.sum("used"), F.lit(0)).cast("long").alias("used")))
     share = F.when(F.col("sequences") > 0, F.col("used") / (F.col("sequences") * capacity))
     rows = rows.withColumn("utilization", share).withColumn("padding_count", F.col("sequences") * capacity - F.col("used"))
     from pyspark.sql import Window

@@ -248,15 +248,61 @@ def test_mixing_meets_shares(spark):
     for lane, share, most in (("code", 0.5 / 1.05, 2), ("general_web", 0.2 / 1.05, 3)):
         assert abs(by[lane][0] / total - share) < 0.01 and by[lane][1] <= most
     held = sum(r[1] for r in rows if r[2] == "indic" and r[1])
-    assert by["indic"][0] == held and by["indic"][1] == 1
-    assert got.groupBy("lane", "shard_id", "take").count().where("count > 1").count() == 0
+    # A lane that falls short gives all but what the schedule's rounding leaves.
+    assert held - 4 * 4096 <= by["indic"][0] <= held and by["indic"][1] == 1
+    size = dict((r[0], r[1]) for r in rows if r[1])
+    pieces = {}
+    for r in got.collect():
+        pieces.setdefault((r.lane, r.shard_id, r.take), []).append((r.first_token, r.first_token + r.tokens))
+    for (_, shard, _), parts in pieces.items():
+        parts.sort()
+        assert all(a < b <= size[shard] for a, b in parts) and all(x[1] == y[0] for x, y in zip(parts, parts[1:]))
+    # Every slot but a lane's last holds a whole block, and every stretch of the schedule is close to the shares.
+    filled = {}
+    for r in got.collect():
+        filled.setdefault(r.slot, [r.lane, 0])[1] += r.tokens
+    assert sum(n != 4096 for _, n in filled.values()) <= 3
+    order = [filled[k][0] for k in sorted(filled)]
+    whole = sum(n for n, _ in by.values())
+    for upto in (40, 100, len(order)):
+        assert all(abs(order[:upto].count(lane) / upto - by[lane][0] / whole) < 0.08 for lane in by)
     assert mixing.select_shards(shards.limit(0), lanes).count() == 0
 
 
 def test_schedule_is_even(spark):
-    stages = [{"family": "f", "stage": "s", "lane": n, "upto": u} for n, u in (("a", 0.25), ("b", 0.6), ("c", 1.0))]
-    rows = mixing.slots(40_000 * 10, stages, 10, spark).collect()
+    stages = [{"family": "f", "stage": "s", "lane": n, "take": u} for n, u in (("a", 100_000), ("b", 140_000), ("none", 0), ("c", 160_000))]
+    rows = mixing.slots(stages, 10, spark).collect()
+    assert len(rows) == 40_000
     first = [r.lane for r in sorted(rows, key=lambda r: r.slot)]
     for upto in (100, 1000, 20_000, 40_000):
         assert abs(first[:upto].count("a") - 0.25 * upto) < 8
     assert sorted(r.rank for r in rows if r.lane == "b") == list(range(first.count("b")))
+
+
+def test_what_gives_way_where_a_lane_is_short():
+    lanes = [{"lane": "a", "share": 0.5, "max_repeats": 1}, {"lane": "b", "share": 0.25, "max_repeats": 4}, {"lane": "c", "share": 0.25, "max_repeats": 1}]
+    held = {"a": 100, "b": 800, "c": 260}
+    assert mixing.dealt_tokens(lanes, held, 1000) == [100, 250, 250]
+    assert mixing.dealt_tokens(lanes, held, 1000, "scale") == [100, 50, 50]
+    assert mixing.dealt_tokens(lanes, held, 1000, "fill") == [100, 640, 260]
+    assert mixing.dealt_tokens(lanes, {}, 1000, "fill") == [0, 0, 0] and mixing.dealt_tokens([], {}, 5) == []
+    with pytest.raises(ValueError):
+        mixing.dealt_tokens(lanes, held, 1000, "other")
+
+
+def test_repacking_is_an_option():
+    def made(repack):
+        bins = packing.Bins(10, 50)
+        closed = [b for n in range(40) for b in bins.put((n, 0, 6 if n < 20 else 5), 6 if n < 20 else 5)]
+        return closed + bins.put(("x", 0, 4), 4) + bins.rest(repack)
+
+    for repack in (False, True):
+        assert sorted(str(i[0]) for b in made(repack) for i in b) == sorted([*map(str, range(40)), "x"])
+    assert len(made(True)) <= len(made(False))
+
+
+def test_rows_whose_hash_is_shared_are_compared_whole(spark, monkeypatch):
+    rows = [("s", k % 3, "d", [k % 3] * 5) for k in range(30)]
+    df = spark.createDataFrame(rows, "shard_id string, pos int, doc_id string, tokens array<int>")
+    monkeypatch.setattr(packing.F, "xxhash64", lambda *columns: packing.F.lit(1))
+    assert sum(len(r.spans) for r in packing.pack(df).collect()) == 3
