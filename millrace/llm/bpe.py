@@ -27,6 +27,8 @@ from millrace.llm.texts import map_texts
 
 #: A run of white space with the word after it; no piece of a byte-level pattern crosses from a word into white space.
 CHUNK = re.compile(r"\s*\S+|\s+")
+#: Texts by which a pattern is tried for that; one that fails is applied to whole texts.
+PROBES = ("a b", "a  b", "a \n b", "a\n\nb ", " a", "1 2", "1,  2. b", "don't  'tis", "ab\tcd \t e", "- x -  y", "\u0939\u093f \u0928", "a.\n", "a .\n\n b")
 #: Distinct chunks a worker remembers; beyond it the memory starts anew, with the same results.
 REMEMBERED = 200_000
 LONGEST_REMEMBERED = 64
@@ -75,6 +77,9 @@ class ByteBpe:
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.first = [self.ranks[bytes([b])] for b in range(256)]
         self.pieces = regex.compile(pattern).findall
+        # Texts are taken apart before white space that a word follows, if the pattern never joins what stands on both sides.
+        self.separable = all(self.pieces(t) == [p for c in CHUNK.findall(t) for p in self.pieces(c)] for t in PROBES)
+        self.chunks = CHUNK.findall if self.separable else lambda text: [text] if text else []
         self.pair_ranks: dict[tuple[int, int], int | None] = {}
         self.piece_memory = _Memory(self._encode_piece)
         self.chunk_memory = _Memory(self._encode_chunk)
@@ -123,7 +128,7 @@ class ByteBpe:
         return tuple(chain.from_iterable(memory[p] for p in self.pieces(chunk)))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.chunk_memory.__getitem__, CHUNK.findall(text))))
+        return list(chain.from_iterable(map(self.chunk_memory.__getitem__, self.chunks(text))))
 
     def decode(self, ids) -> str:
         """Vocabulary strings joined; bytes that are no UTF-8 become U+FFFD, ids the vocabulary lacks nothing."""
@@ -149,10 +154,10 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             from array import array
 
             flat, ends = array("i"), [0]
-            look = bpe.chunk_memory.__getitem__
+            look, apart = bpe.chunk_memory.__getitem__, bpe.chunks
             for text in texts:
                 if text:
-                    flat.extend(chain.from_iterable(map(look, CHUNK.findall(text))))
+                    flat.extend(chain.from_iterable(map(look, apart(text))))
                 ends.append(len(flat))
             values = pa.array(np.frombuffer(flat, dtype=np.int32) if flat else np.empty(0, np.int32))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, type=pa.list_(pa.field("element", pa.int32(), False)))
@@ -163,6 +168,23 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return map_texts(df, [id_col, text_col], text_col, out, make)
 
 
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``id_col``, ``n_ids`` and whether decoding the ids gives the text back (``same``), of each row in one pass; a null text counts as an empty one."""
+    path, split = vocabulary or default_vocabulary(), pattern or default_pattern()
+    out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_ids", T.IntegerType(), False), T.StructField("same", T.BooleanType(), False)])
+
+    def make():
+        bpe = load(path, split)
+
+        def act(keys: list, texts: list) -> list:
+            ids = [bpe.encode(t) if t else [] for t in texts]
+            return [keys, list(map(len, ids)), [bpe.decode(i) == (t or "") for i, t in zip(ids, texts)]]
+
+        return act
+
+    return map_texts(df, [id_col, text_col], text_col, out, make)
+
+
 def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """``id_col`` and ``text`` of each row; a null list gives an empty text."""
     path, split = vocabulary or default_vocabulary(), pattern or default_pattern()

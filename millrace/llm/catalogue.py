@@ -81,16 +81,7 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Whether decoding the ids of each document gives its text back, and how many ids it has."""
-    documents = read_table(spark, folder, "documents", "doc_id", "text")
-    encoded = bpe.encode_documents(documents)
-    decoded = bpe.decode_ids(encoded).select("doc_id", F.xxhash64("text").alias("back"))
-    sizes = encoded.select("doc_id", F.size("ids").alias("n_ids"))
-    wanted = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
-    return wanted.join(decoded, "doc_id").join(sizes, "doc_id").select("doc_id", "n_ids", (F.col("hash") == F.col("back")).alias("same"))
-
-
-def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.find_leaks(read_table(spark, folder, "documents", "doc_id", "text"), read_table(spark, folder, "eval_items", "item_id", "text")).select("doc_id", "item_id")
+    return bpe.round_trip(read_table(spark, folder, "documents", "doc_id", "text"))
 
 
 def _leak_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

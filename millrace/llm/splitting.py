@@ -14,7 +14,8 @@ the same as within the text.
 
 Defined results: null, empty and blank texts and texts of up to ``limit`` ids
 are one piece (no text: none); pieces cover the whole text; repeated rows are
-cut alike. Every piece has at most ``limit`` ids when encoded alone.
+cut alike. Every piece has at most ``limit`` ids when encoded alone, but for a
+single character that has more.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ _ENDS_SENTENCE = re.compile(r"""[.!?…।॥。！？]["'”’»)\]]*$""")
 
 def boundaries(text: str, bpe: ByteBpe) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each boundary: the ids before it, the characters before it, its kind. The first is the text's start, the last its end."""
+    if not bpe.separable:
+        raise ValueError("the pattern joins a word with the white space after it, so texts cannot be cut there")
     chunks = CHUNK.findall(text)
     encoded = list(map(bpe.chunk_memory.__getitem__, chunks))
     ids, chars, kinds = [0], [0], [PARAGRAPH]
@@ -110,13 +113,13 @@ def pieces_of(text: str, bpe: ByteBpe, limit: int = LIMIT, overlap: int = OVERLA
         for k in within:
             a, b, _ = found[k]
             found[k] = (a, b, len(bpe.encode(text[a:b])))
-        if all(found[k][2] <= limit for k in within) or room <= 16:
+        if all(found[k][2] <= limit for k in within) or room == 1:
             return found
         room -= max(1, room // 16)
 
 
 def cut_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``id_col`` and ``pieces`` (an array of ``first``, ``after``, ``n_ids``) of each row with a text."""
+    """``id_col`` and ``pieces`` (an array of ``first``, ``after``, ``n_ids``) of each row whose text has more than ``limit`` bytes; no other can have more than one piece."""
     path, split = vocabulary or default_vocabulary(), pattern or default_pattern()
     piece = T.StructType([T.StructField(n, T.IntegerType(), False) for n in ("first", "after", "n_ids")])
     out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("pieces", T.ArrayType(piece, False))])

@@ -306,3 +306,24 @@ def test_rows_whose_hash_is_shared_are_compared_whole(spark, monkeypatch):
     df = spark.createDataFrame(rows, "shard_id string, pos int, doc_id string, tokens array<int>")
     monkeypatch.setattr(packing.F, "xxhash64", lambda *columns: packing.F.lit(1))
     assert sum(len(r.spans) for r in packing.pack(df).collect()) == 3
+
+
+def test_patterns_that_join_words_and_spaces_are_applied_whole(own):
+    whole = bpe.ByteBpe(bpe.default_vocabulary(), r"[\s\S]+?(?:  |$)|[\s\S]+")
+    assert own.separable and not whole.separable
+    assert whole.decode(whole.encode("a  b c  d")) == "a  b c  d" and whole.encode("") == []
+    with pytest.raises(ValueError):
+        splitting.boundaries("a b", whole)
+
+
+@pytest.mark.parametrize("limit", [4, 8, 16, 40])
+def test_no_piece_exceeds_the_limit(own, limit):
+    text = "नमस्ते" * 60 + " word and more words. " * 5 + "😀" * 40
+    found = splitting.pieces_of(text, own, limit, 1)
+    assert found[0][0] == 0 and found[-1][1] == len(text) and all(a[1] >= b[0] for a, b in zip(found, found[1:]))
+    assert all(len(own.encode(text[a:b])) <= limit for a, b, _ in found)
+
+
+def test_round_trip_in_one_pass(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (3, "x")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_ids > 0, r.same) for r in bpe.round_trip(df).collect()) == [(1, True, True), (2, False, True), (3, False, True), (3, True, True)]
