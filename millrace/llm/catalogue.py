@@ -88,6 +88,10 @@ def _leak_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     return read_table(spark, folder, "documents", "doc_id", "text"), read_table(spark, folder, "eval_items", "item_id", "text")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.find_leaks(*_leak_tables(spark, folder)).select("doc_id", "item_id")
+
+
 def p8_places(spark: SparkSession, folder: str) -> DataFrame:
     """Each leak with the length and place of its longest stretch and of its longest verbatim match."""
     return leakage.find_leaks(*_leak_tables(spark, folder))
