@@ -49,6 +49,12 @@ def attention_mask(ids: Column, segment: Column, policy: Column) -> Column:
     return F.transform(places, row)
 
 
+def attended(ids: Column, positions: Column, segment: Column, policy: Column) -> Column:
+    """How many places each place attends to: the row sums of the square mask, which padding at the end and documents in a row allow to give without it."""
+    seen = lambda t, i: F.when(t == PAD, 0).when(policy == ISOLATING, F.when(F.get(segment, i) > 0, F.get(positions, i) + 1).otherwise(0)).otherwise(i + 1)
+    return F.transform(ids, seen)
+
+
 def json_list(values: Column, number: str = "int") -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(values, lambda v: F.when(v == 1.0, "1.0").otherwise("0.0") if number == "mask" else v.cast("string")), ", "), F.lit("]"))
 

@@ -64,11 +64,17 @@ def append_numbered(ledger: DataFrame, rows: DataFrame, order: list[str]) -> Dat
 
 
 def digest(ledger: DataFrame, first: int, last: int) -> DataFrame:
-    """SHA-256 (16 hex digits) of the range's batch hashes in order, each range of 4,096 ids first by itself, so that no list of the whole range is built; ``empty`` for no rows."""
-    part = ledger.where(F.col("id").between(first, last)).groupBy(F.floor(F.col("id") / 4096).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("id", "batch_hash"))).alias("r"))
-    chunks = part.select("chunk", F.sha2(F.array_join(F.transform("r", lambda x: x["batch_hash"]), ""), 256).alias("h"))
-    told = chunks.agg(F.sort_array(F.collect_list(F.struct("chunk", "h"))).alias("c"))
-    return told.select(F.when(F.size("c") == 0, "empty").otherwise(F.substring(F.sha2(F.array_join(F.transform("c", lambda x: x["h"]), ""), 256), 1, 16)).alias("digest"))
+    """SHA-256 (16 hex digits) over the range's batch hashes in order; ``empty`` for no rows.
+
+    A tree: the hashes of each 4,096 ids are hashed together, then those of each
+    4,096 ranges, and so on for all levels that ids of 64 bits may need, so that
+    no list is longer than that.
+    """
+    level = ledger.where(F.col("id").between(first, last)).select("id", F.coalesce("batch_hash", F.lit("")).alias("h"))
+    for _ in range(6):
+        told = level.groupBy(F.floor(F.col("id") / 4096).cast("long").alias("up")).agg(F.sort_array(F.collect_list(F.struct("id", "h"))).alias("r"))
+        level = told.select(F.col("up").alias("id"), F.sha2(F.array_join(F.transform("r", lambda x: x["h"]), ""), 256).alias("h"))
+    return level.agg(F.coalesce(F.substring(F.min("h"), 1, 16), F.lit("empty")).alias("digest"))
 
 
 def flat_digest(ledger: DataFrame, first: int, last: int) -> DataFrame:
@@ -77,15 +83,24 @@ def flat_digest(ledger: DataFrame, first: int, last: int) -> DataFrame:
     return told.select(F.when(F.size("r") == 0, "empty").otherwise(F.substring(F.sha2(F.array_join(F.transform("r", lambda x: x["batch_hash"]), ""), 256), 1, 16)).alias("digest"))
 
 
-def rebuild(ledger: DataFrame, documents: DataFrame, length: int = 2048) -> DataFrame:
+def rebuild(ledger: DataFrame, documents: DataFrame, length: int = 2048, policy: str = "structure-preserving") -> DataFrame:
     """``id``, ``loss_mask_hash``, ``batch_hash`` built anew from the recorded spans and the documents' own tokens.
 
+    A span's ids begin at its ``doc_start`` (0 where it records none) in the
+    document as ``policy`` packs it: ended by EOD and cut by the isolating one.
     Only rows all of whose documents are there. Spans are exploded and joined by
-    document, so a hot document is a matter for the join alone.
+    document, so a hot document is a matter for the join alone, whose skew
+    adaptive execution splits. Of rows that name one document the least tokens
+    count.
     """
-    wanted = ledger.select("id", "microbatch_id", F.posexplode("token_span_ids").alias("k", "s")).select("id", "microbatch_id", "k", "s.doc_id", "s.start_idx", "s.end_idx")
-    tokens = documents.select("doc_id", "tokens").groupBy("doc_id").agg(F.first("tokens").alias("tokens"))
-    found = wanted.join(tokens, "doc_id").select("id", "microbatch_id", "k", "doc_id", "start_idx", "end_idx", F.slice("tokens", F.lit(1), F.col("end_idx") - F.col("start_idx")).alias("ids"))
+    from millrace.operators.packing import with_eod
+
+    fields = ledger.schema["token_span_ids"].dataType.elementType.names
+    start = F.col("s.doc_start") if "doc_start" in fields else F.lit(0)
+    wanted = ledger.select("id", "microbatch_id", F.posexplode("token_span_ids").alias("k", "s")).select("id", "microbatch_id", "k", "s.doc_id", "s.start_idx", "s.end_idx", F.coalesce(start, F.lit(0)).alias("doc_start"))
+    tokens = documents.select("doc_id", "tokens").groupBy("doc_id").agg(F.min(F.coalesce("tokens", F.array().cast("array<int>"))).alias("tokens"))
+    packed = with_eod(F.col("tokens"), length) if policy == batches.ISOLATING else F.col("tokens")
+    found = wanted.join(tokens, "doc_id").select("id", "microbatch_id", "k", "doc_id", "start_idx", "end_idx", F.slice(packed, F.col("doc_start") + 1, F.greatest(F.col("end_idx") - F.col("start_idx"), F.lit(0))).alias("ids"))
     sizes = ledger.select("id", F.size("token_span_ids").alias("n"))
     gathered = found.groupBy("id", "microbatch_id").agg(F.sort_array(F.collect_list(F.struct("k", "doc_id", "start_idx", "end_idx", "ids"))).alias("p")).join(sizes, "id").where(F.size("p") == F.col("n"))
     ids = F.flatten(F.transform("p", lambda x: x["ids"]))
@@ -95,9 +110,9 @@ def rebuild(ledger: DataFrame, documents: DataFrame, length: int = 2048) -> Data
     return batches.build(rows, F.col("microbatch_id")).select("id", "loss_mask_hash", "batch_hash")
 
 
-def replay(ledger: DataFrame, documents: DataFrame, length: int = 2048) -> DataFrame:
+def replay(ledger: DataFrame, documents: DataFrame, length: int = 2048, policy: str = "structure-preserving") -> DataFrame:
     """``id``, ``status``: ``same``, ``changed``, or ``missing`` where the documents are not there to rebuild the batch from."""
-    made = rebuild(ledger, documents, length).select("id", F.col("batch_hash").alias("made"))
+    made = rebuild(ledger, documents, length, policy).select("id", F.col("batch_hash").alias("made"))
     told = ledger.select("id", F.col("batch_hash").alias("recorded")).join(made, "id", "full_outer")
     return told.select("id", F.when(F.col("made").isNull(), "missing").when(F.col("made") == F.col("recorded"), "same").otherwise("changed").alias("status"))
 
@@ -146,7 +161,16 @@ def lane_agreement(ledger: DataFrame, shards: DataFrame, lane_of) -> DataFrame:
     return told.groupBy((F.col("agrees") == 1).alias("agrees")).agg(F.count("*").alias("rows"))
 
 
-def training_steps(schedule: DataFrame, shards: DataFrame, documents: DataFrame, start: int, length: int = 512, threshold: float | None = None) -> DataFrame:
+def numbered(rows: DataFrame, by: str, order: str, chunk: Column, name: str) -> DataFrame:
+    """``rows`` with their number (from 0) within ``by`` in the order of ``order``; ``chunk`` must not fall as ``order`` grows. Counts of chunks first, then places within a chunk."""
+    keyed = rows.withColumn("_chunk", chunk)
+    sizes = keyed.groupBy(by, "_chunk").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    placed = keyed.withColumn("_k", F.row_number().over(Window.partitionBy(by, "_chunk").orderBy(order)) - 1).join(before, [by, "_chunk"])
+    return placed.withColumn(name, (F.col("_before") + F.col("_k")).cast("long")).drop("_chunk", "_before", "_k")
+
+
+def training_steps(schedule: DataFrame, shards: DataFrame, documents: DataFrame, start: int, length: int = 512) -> DataFrame:
     """Consumption rows of a scheduled run: each step serves the next shard of its own lane, one microbatch for each packed sequence.
 
     ``schedule`` has ``step`` and ``lane``; ``shards`` has ``shard_id`` and
@@ -156,11 +180,11 @@ def training_steps(schedule: DataFrame, shards: DataFrame, documents: DataFrame,
     from millrace.operators import packing
 
     sizes = shards.groupBy("lane").agg(F.count("*").alias("n"))
-    numbered = shards.withColumn("k", F.row_number().over(Window.partitionBy("lane").orderBy("shard_id")) - 1)
-    turns = schedule.withColumn("turn", F.row_number().over(Window.partitionBy("lane").orderBy("step")) - 1).join(sizes, "lane").withColumn("k", F.pmod("turn", "n"))
-    served = turns.join(numbered, ["lane", "k"]).select("step", "lane", "shard_id")
-    packed = packing.pack(documents.join(served.select("shard_id").distinct(), "shard_id", "left_semi"), "structure-preserving", length)
+    members = numbered(shards, "lane", "shard_id", F.substring("shard_id", 1, 8), "k")
+    turns = numbered(schedule, "lane", "step", F.floor(F.col("step") / 4096), "turn").join(sizes, "lane").withColumn("k", F.pmod("turn", "n"))
+    served = turns.join(members, ["lane", "k"]).select("step", "lane", "shard_id")
+    packed = packing.pack(documents.join(served.select("shard_id").distinct(), "shard_id", "left_semi"), batches.ISOLATING, length)
     rows = served.join(packed, "shard_id")
     name = F.concat(F.lit("b_"), (F.col("step") + start).cast("string"), F.when(F.col("seq_no") > 0, F.concat(F.lit("_"), F.col("seq_no").cast("string"))).otherwise(F.lit("")))
     built = batches.build(rows, name)
-    return built.select((F.col("step") + start).alias("global_step"), checkpoint_id(F.col("step") + start).alias("checkpoint_id"), "microbatch_id", F.col("sample_ids").alias("packed_sample_ids"), F.array("shard_id").alias("shard_ids"), F.col("spans").alias("token_span_ids"), "loss_mask_hash", F.col("lane").alias("mixture_lane"), "batch_hash", "utilization")
+    return built.select((F.col("step") + start).alias("global_step"), checkpoint_id(F.col("step") + start).alias("checkpoint_id"), "microbatch_id", F.col("sample_ids").alias("packed_sample_ids"), F.array("shard_id").alias("shard_ids"), F.col("spans").alias("token_span_ids"), "loss_mask_hash", F.col("lane").alias("mixture_lane"), "batch_hash", "utilization", "input_ids", "labels", "loss_mask")

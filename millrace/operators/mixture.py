@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # ---- fixed values: planned budgets in tokens --------------------------------
@@ -15,6 +16,8 @@ AGENTIC_SOURCES = {"sourced": 0.30, "synthesized": 0.70}
 FLOORS = {"indic": 0.08, "agentic": 0.03, "math_reasoning": 0.10}
 ANNEAL_RESERVE, WARMUP = 0.15, 0.04
 # ---------------------------------------------------------------------------
+#: A stage with more lanes is refused; steps of a schedule that are given on at a time.
+LANES_MOST, STEPS_AT_A_TIME = 100_000, 8_192
 
 
 def _of_stage() -> Window:
@@ -43,9 +46,11 @@ def target_quotas(stage_lanes: DataFrame, n: int) -> DataFrame:
 
 def known_stage(stage_lanes: DataFrame, family: str, stage: str) -> list:
     """The lanes of one stage on the driver, in order; a stage has a handful. An unknown stage is an error."""
-    rows = stage_lanes.where((F.col("family") == family) & (F.lower("stage") == stage.lower())).orderBy("pos").limit(1000).collect()
+    rows = stage_lanes.where((F.col("family") == family) & (F.lower("stage") == stage.lower())).orderBy("pos").limit(LANES_MOST + 1).collect()
     if not rows:
         raise ValueError(f"unknown stage {stage!r} of family {family!r}")
+    if len(rows) > LANES_MOST:
+        raise ValueError(f"stage {stage!r} has more than {LANES_MOST} lanes")
     return rows
 
 
@@ -54,24 +59,32 @@ def schedule(stage_lanes: DataFrame, steps: int, family: str | None = None, serv
 
     With nothing served the first lane is taken; then the first lane with the
     greatest target less its share of what was served. The choice depends on all
-    choices before it, so each stage is one fold over its steps; stages run
-    apart. ``served`` resumes a schedule where its ledger ends.
+    choices before it, so a stage is one loop that gives its steps on as it
+    goes and holds a count for each lane only; stages run apart. ``served``
+    resumes a schedule where its ledger ends.
     """
     lanes = stage_lanes if family is None else stage_lanes.where(F.col("family") == family)
-    before = F.create_map(*[F.lit(x) for k, v in (served or {"": 0}).items() for x in (k, v)])
     stages = lanes.groupBy("family", "stage").agg(F.sort_array(F.collect_list(F.struct("pos", "lane", "share"))).alias("l"))
-    start = F.transform("l", lambda x: F.coalesce(F.element_at(before, x["lane"]), F.lit(0)).cast("long"))
-    empty = F.struct(start.alias("counts"), F.array().cast("array<int>").alias("chosen"))
-
-    def step(state: Column, _: Column) -> Column:
-        counts = state["counts"]
-        total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-        behind = F.transform("l", lambda x, i: x["share"] - F.when(total > 0, F.get(counts, i) / total).otherwise(F.lit(0.0)))
-        best = F.when(total == 0, F.lit(0)).otherwise((F.array_position(behind, F.array_max(behind)) - 1).cast("int"))
-        return F.struct(F.transform(counts, lambda c, i: F.when(i == best, c + 1).otherwise(c)).alias("counts"), F.array_append(state["chosen"], best).alias("chosen"))
-
-    folded = stages.select("family", "stage", "l", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), empty, step)["chosen"].alias("chosen"))
-    return folded.select("family", "stage", "l", F.posexplode("chosen").alias("k", "best")).select("family", "stage", (F.col("k") + first_step).cast("long").alias("step"), F.get(F.col("l"), F.col("best"))["lane"].alias("lane"))
+    before = dict(served or {})
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                names, shares = [x["lane"] for x in row["l"]], [x["share"] or 0.0 for x in row["l"]]
+                counts = [before.get(n, 0) for n in names]
+                total = sum(counts)
+                for start in range(0, steps, STEPS_AT_A_TIME):
+                    chosen = []
+                    for _ in range(start, min(steps, start + STEPS_AT_A_TIME)):
+                        behind = [s - c / total for s, c in zip(shares, counts)] if total else None
+                        best = behind.index(max(behind)) if behind else 0
+                        counts[best] += 1
+                        total += 1
+                        chosen.append(names[best])
+                    n = len(chosen)
+                    yield pa.record_batch([pa.array([row["family"]] * n, pa.string()), pa.array([row["stage"]] * n, pa.string()), pa.array(range(first_step + start, first_step + start + n), pa.int64()), pa.array(chosen, pa.string())], names=["family", "stage", "step", "lane"])
+
+    return stages.mapInArrow(run, "family string, stage string, step long, lane string")
 
 
 def sample_batch(members: DataFrame, stage_lanes: DataFrame, family: str, stage: str, batch: int, seed: int = 42) -> DataFrame:

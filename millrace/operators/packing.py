@@ -58,17 +58,19 @@ def _best_fit(lengths: list[int], length: int) -> list[tuple[int, int]]:
     return out
 
 
-def _with_eod(tokens: Column, length: int) -> Column:
+def with_eod(tokens: Column, length: int) -> Column:
     """Tokens that end with EOD, the ending kept when they are cut."""
     ended = F.when((F.size(tokens) > 0) & (F.element_at(tokens, -1) != EOD), F.array_append(tokens, EOD)).otherwise(tokens)
     return F.when(F.size(ended) > length, F.array_append(F.slice(ended, 1, length - 1), EOD)).otherwise(ended)
 
 
 def _finish(parts: DataFrame, policy: str, length: int) -> DataFrame:
-    """Sequences from parts (``shard_id``, ``seq_no``, ``k``, ``doc_id``, ``start_idx``, ``ids``)."""
-    gathered = parts.groupBy("shard_id", "seq_no").agg(F.sort_array(F.collect_list(F.struct("k", "doc_id", "start_idx", "ids"))).alias("p"))
+    """Sequences from parts (``shard_id``, ``seq_no``, ``k``, ``doc_id``, ``start_idx``, ``ids`` and, if not 0, ``doc_start``: the place of the first id in the document)."""
+    if "doc_start" not in parts.columns:
+        parts = parts.withColumn("doc_start", F.lit(0))
+    gathered = parts.groupBy("shard_id", "seq_no").agg(F.sort_array(F.collect_list(F.struct("k", "doc_id", "start_idx", "ids", "doc_start"))).alias("p"))
     ids = F.flatten(F.transform("p", lambda x: x["ids"]))
-    spans = F.transform("p", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["start_idx"].alias("start_idx"), (x["start_idx"] + F.size(x["ids"])).cast("int").alias("end_idx")))
+    spans = F.transform("p", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["start_idx"].alias("start_idx"), (x["start_idx"] + F.size(x["ids"])).cast("int").alias("end_idx"), x["doc_start"].alias("doc_start")))
     rows = gathered.select("shard_id", "seq_no", ids.alias("ids"), F.transform("p", lambda x: x["doc_id"]).alias("names"), spans.alias("spans"))
     padding = F.lit(length) - F.size("ids")
     return rows.select(
@@ -90,7 +92,7 @@ def pack(documents: DataFrame, policy: str = "structure-preserving", length: int
     once = documents.select("shard_id", "pos", "doc_id", F.coalesce("tokens", F.array().cast("array<int>")).alias("tokens")).distinct()
     if policy == "concat-chop":
         return _chop(once, length)
-    ids = _with_eod(F.col("tokens"), length) if policy == "structure-preserving" else F.slice("tokens", 1, length)
+    ids = with_eod(F.col("tokens"), length) if policy == "structure-preserving" else F.slice("tokens", 1, length)
     cut = once.select("shard_id", "pos", "doc_id", ids.alias("ids"))
     if policy == "pad-only":
         number = F.row_number().over(Window.partitionBy("shard_id").orderBy("pos", "doc_id")) - 1
@@ -122,7 +124,7 @@ def _chop(once: DataFrame, length: int) -> DataFrame:
     start = F.greatest(F.col("at"), F.col("s") * length)
     end = F.least(F.col("at") + F.size("tokens"), (F.col("s") + 1) * length)
     sliced = F.slice("tokens", (start - F.col("at") + 1).cast("int"), (end - start).cast("int"))
-    return _finish(parts.select("shard_id", F.col("s").cast("int").alias("seq_no"), F.col("k").cast("int").alias("k"), "doc_id", (start - F.col("s") * length).cast("int").alias("start_idx"), sliced.alias("ids")), "concat-chop", length)
+    return _finish(parts.select("shard_id", F.col("s").cast("int").alias("seq_no"), F.col("k").cast("int").alias("k"), "doc_id", (start - F.col("s") * length).cast("int").alias("start_idx"), sliced.alias("ids"), (start - F.col("at")).cast("int").alias("doc_start")), "concat-chop", length)
 
 
 def utilization(packed: DataFrame) -> DataFrame:

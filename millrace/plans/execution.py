@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
-from millrace.operators import batches, evidence, ledger, mixture, packing, selection, shards, tokenizer
+from millrace.operators import batches, evidence, learning, ledger, mixture, packing, selection, shards, tokenizer
 from millrace.plans import curation
 from millrace.sources.tables import read_table, spread
 from millrace.streaming import streams
 
 LANE_NAMES = {"general": "general_web", "reasoning": "math_reasoning"}
-TOKENS, QUOTA, STEPS = 100_000, 1_000, 64
+TOKENS, QUOTA, STEPS = 100_000, 1_000, 2_000
 FIRST, LAST, STEP = 100, 400, 500_003
+#: A delay longer than any table's time, so that no row of a whole table is late.
+EVER = "36500 days"
 
 
 def plain_lane(column):
@@ -184,12 +186,10 @@ def batch_hashes(spark, folder):
 
 
 def attention_pairs(spark, folder):
-    """Pairs of places that attend to each other in each sequence, with documents kept apart or not, from the lengths of the spans."""
-    rows = _recorded(spark, folder)
-    pairs = lambda n: n * (n + 1) / 2
-    own = F.aggregate("spans", F.lit(0.0), lambda a, s: a + pairs(s["end_idx"] - s["start_idx"]))
-    used = F.size(F.filter("input_ids", lambda t: t != tokenizer.PAD))
-    return rows.select("shard_id", "seq_no", "policy", F.when(F.col("policy") == batches.ISOLATING, own).otherwise(pairs(used)).cast("long").alias("pairs"))
+    """Pairs of places that attend to each other in each sequence, with documents kept apart or not."""
+    built = batches.build(_recorded(spark, folder), batches.step_name(F.col("seq_no")))
+    seen = batches.attended(F.col("input_ids"), F.col("position_ids"), F.col("segment_ids"), F.col("policy"))
+    return built.select("shard_id", "seq_no", "policy", F.aggregate(seen, F.lit(0).cast("long"), lambda a, x: a + x).alias("pairs"))
 
 
 # ---- ledgers ----------------------------------------------------------------
@@ -249,17 +249,39 @@ def training_run(spark, folder):
     documents = shards.synthetic_shards(spark)
     lanes = documents.select("shard_id", F.col("capability_lane").alias("lane")).distinct()
     steps = mixture.schedule(read_table(spark, folder, "stage_lanes"), 17, "training").where("stage = 'reasoning-midtrain'").select("step", "lane")
-    return ledger.training_steps(steps, lanes, documents, 843_210).drop("token_span_ids")
+    return ledger.training_steps(steps, lanes, documents, 843_210).drop("token_span_ids", "input_ids", "labels", "loss_mask")
 
 
 def evidence_checks(spark, folder):
-    return evidence.checks(_ledger(spark, folder), _recorded(spark, folder), _manifests(spark, folder), read_table(spark, folder, "firewall_rules"), selection_decisions(spark, folder), _tokens(spark, folder), floor_report(spark, folder))
+    own, packed = _ledger(spark, folder), spread(read_table(spark, folder, "packed_sequences", "shard_id", "seq_no", "policy", "input_ids", "spans", "utilization").distinct())
+    documents = spread(read_table(spark, folder, "documents_tok", "shard_id", "pos", "doc_id", "text", "tokens"))
+    candidates = _candidates(spark, folder)
+    return evidence.bundle(
+        [
+            evidence.tokenizer_integrity(documents),
+            evidence.evaluation_firewall(own, read_table(spark, folder, "firewall_rules")),
+            evidence.manifest_coverage(own, _manifests(spark, folder)),
+            evidence.packing_correctness(packed),
+            evidence.mixture_compliance(floor_report(spark, folder)),
+            evidence.selection_audit_trail(candidates, selection_decisions(spark, folder)),
+            evidence.crash_recovery(own),
+            evidence.replayed(own, documents),
+            evidence.lanes_agree(own, read_table(spark, folder, "shards", "shard_id", "capability_lane", "ingested_at"), plain_lane),
+            evidence.utilization_recorded(packed),
+        ]
+    )
 
 
 def evidence_markdown(spark, folder):
     return evidence.markdown(evidence_checks(spark, folder))
 
 
+def learning_ledger(spark, folder):
+    lanes = shards.latest_shards(read_table(spark, folder, "shards")).select("shard_id", plain_lane(F.col("capability_lane")).alias("lane"))
+    rows = learning.learn(_recorded(spark, folder), lanes, read_table(spark, folder, "documents_tok", "tokens"))
+    return rows.select("global_step", "shard_id", "sample_id", "lane", "avg_token_loss", F.array_join("high_ppl_clusters", ",").alias("high_ppl_clusters"), "loss_delta", "opus_score", "model_phase", "usefulness_classification")
+
+
 def performance(spark, folder):
     return evidence.performance(_ledger(spark, folder), _recorded(spark, folder))
 
@@ -276,7 +298,8 @@ def stream_first_copies(spark, folder):
 def stream_lane_counts(spark, folder):
     schema = spark.read.parquet(f"{folder}/microbatch_ledger.parquet").select("mixture_lane", "recorded_at").schema
     rows = _stream(spark, folder, "microbatch_ledger", schema).withColumn("recorded_at", F.col("recorded_at").cast("timestamp"))
-    return streams.to_memory(streams.lane_counts(rows, "mixture_lane", "recorded_at"), "stream_lane_counts", "complete").groupBy("lane").agg(F.sum("served").alias("served"))
+    counted = streams.counted_table(streams.lane_counts(rows, "mixture_lane", "recorded_at", delay=EVER), "stream_lane_counts", ["start", "end", "lane"])
+    return counted.select(F.unix_micros("start").alias("start"), "lane", "served")
 
 
 def _stream(spark, folder, name, schema):
@@ -298,7 +321,7 @@ QUERIES = {
         selection_decisions, rejection_rates,
         pack_pad_only, pack_concat_chop, pack_greedy, pack_best_fit, pack_structure_preserving, packing_utilization, microbatches, batch_hashes, attention_pairs,
         ledger_range, ledger_at_step, ledger_max_offset, ledger_latest_steps, ledger_counts, ledger_step_gaps, ledger_forks, branch_history, ledger_digest, ledger_digest_whole, lane_agreement, replay, training_run,
-        evidence_checks, evidence_markdown, performance,
+        learning_ledger, evidence_checks, evidence_markdown, performance,
         stream_first_copies, stream_lane_counts,
     )
 }
@@ -317,6 +340,7 @@ _FIREWALL = f"""(SELECT m.*, CASE WHEN eval_overlap_status THEN 'never_train_fla
     WHEN shard_id IN (SELECT blocked_id FROM firewall_rules WHERE kind = 'dataset') OR shard_id IN ({", ".join(f"'{b}'" for b in shards.BLOCKED)}) THEN 'registered_eval_shard_id'
     WHEN h.doc IS NOT NULL THEN 'registered_eval_doc_id' ELSE 'clean' END AS fw, h.doc
     FROM {_MANIFESTS} m LEFT JOIN (SELECT shard_id, min(doc_id) AS doc FROM documents_tok WHERE doc_id IN (SELECT blocked_id FROM firewall_rules WHERE kind = 'document') GROUP BY shard_id) h USING (shard_id))"""
+_IDS = max(tokenizer.vocabulary()) + 1
 _PACKED = "(SELECT DISTINCT shard_id, seq_no, policy, input_ids, spans FROM packed_sequences)"
 _USED = "len(list_filter(input_ids, lambda t: t <> 0))"
 _FIT = """placed AS (
@@ -392,9 +416,35 @@ ORACLES = {
         r AS (SELECT id, {_LANE.format("mixture_lane")} AS lane, unnest(shard_ids) AS shard_id FROM microbatch_ledger),
         t AS (SELECT id, max(CASE WHEN lane IS NOT DISTINCT FROM shard_lane THEN 1 ELSE 0 END) AS a FROM r JOIN s USING (shard_id) GROUP BY id)
         SELECT a = 1 AS agrees, count(*) AS rows FROM t GROUP BY agrees""",
+    "learning_ledger": f"""WITH ids AS (SELECT unnest(range({_IDS})) AS t), met AS (SELECT t, count(*) AS n FROM (SELECT unnest(tokens) AS t FROM documents_tok) WHERE t BETWEEN 0 AND {_IDS - 1} GROUP BY t),
+        counts AS (SELECT t, coalesce(n, 0) + 1 AS n FROM ids LEFT JOIN met USING (t)), losses AS (SELECT t, ln((SELECT sum(n) FROM counts) / n) AS loss FROM counts),
+        lanes AS (SELECT shard_id, {_LANE.format("capability_lane")} AS lane FROM {_SHARDS}),
+        places AS (SELECT shard_id, seq_no, policy, t, row_number() OVER (PARTITION BY shard_id, seq_no, policy ORDER BY i) - 1 AS k FROM (SELECT shard_id, seq_no, policy, unnest(input_ids) AS t, generate_subscripts(input_ids, 1) AS i FROM {_PACKED}) WHERE t <> 0),
+        surprise AS (SELECT p.*, coalesce(loss, (SELECT max(loss) FROM losses)) AS loss FROM places p LEFT JOIN losses USING (t)),
+        means AS (SELECT shard_id, seq_no, policy, round(avg(loss), 4) AS m FROM surprise GROUP BY ALL),
+        parts AS (SELECT shard_id, seq_no, policy, string_agg(c, ',' ORDER BY c) AS hard FROM (SELECT shard_id, seq_no, policy, k // {learning.CLUSTER} AS c FROM surprise GROUP BY ALL HAVING round(avg(loss), 4) >= {learning.HARD}) GROUP BY ALL),
+        told AS (SELECT shard_id || '/' || policy AS shard_id, seq_no, p.spans[1].doc_id AS sample_id, lane, coalesce(m, 0) AS m, coalesce(hard, '') AS hard FROM {_PACKED} p LEFT JOIN lanes USING (shard_id) LEFT JOIN means USING (shard_id, seq_no, policy) LEFT JOIN parts USING (shard_id, seq_no, policy))
+        SELECT CAST(seq_no AS BIGINT) AS global_step, shard_id, sample_id, lane, m AS avg_token_loss, hard AS high_ppl_clusters, coalesce(round(m - lag(m) OVER (PARTITION BY shard_id ORDER BY seq_no), 4), 0) AS loss_delta,
+            CASE WHEN lane = 'indic' THEN 0.62::DOUBLE ELSE 0.85::DOUBLE END AS opus_score, '{learning.PHASE}' AS model_phase, CASE WHEN m >= {learning.HARD} THEN 'high_value' ELSE 'routine' END AS usefulness_classification FROM told""",
+    "shard_hashes": f"""WITH d AS (SELECT shard_id, count(*) AS documents, CAST(sum(len(tokens)) AS BIGINT) AS tokens, string_agg(hex(encode(doc_id)) || array_to_string(list_transform(tokens, lambda t: lpad(hex(t), 8, '0')), ''), '' ORDER BY pos, doc_id) AS body FROM {_ONCE} GROUP BY shard_id)
+        SELECT shard_id, sha256(unhex(hex(encode(shard_id || coalesce(capability_lane, '') || CASE WHEN eval_overlap_status THEN 'True' ELSE 'False' END)) || body)) AS content_hash, documents, d.tokens FROM d JOIN {_SHARDS} s USING (shard_id)""",
+    "ledger_digest_whole": f"""WITH l0 AS (SELECT id, coalesce(batch_hash, '') AS h FROM microbatch_ledger), {", ".join(f"l{k + 1} AS (SELECT id // 4096 AS id, sha256(string_agg(h, '' ORDER BY id)) AS h FROM l{k} GROUP BY id // 4096)" for k in range(6))}
+        SELECT coalesce(substring(min(h), 1, 16), 'empty') AS digest FROM l6""",
+    "batch_hashes": f"""WITH p AS (SELECT *, array_to_string(list_transform(input_ids, lambda t: CASE WHEN t = 0 THEN '0.0' ELSE '1.0' END), ', ') AS mask,
+            flatten(list_transform(spans, lambda s: range(greatest(s.end_idx - s.start_idx, 0)::BIGINT))) AS placed FROM {_PACKED})
+        SELECT shard_id, seq_no, policy, sha256('{{"input_ids": [' || array_to_string(input_ids, ', ') || '], "loss_mask": [' || mask || '], "microbatch_id": "b_' || seq_no || '", "position_ids": [' ||
+            array_to_string(list_concat(placed, list_resize([]::BIGINT[], len(input_ids) - len(placed), 0)), ', ') || '], "spans": [' ||
+            array_to_string(list_transform(spans, lambda s: '{{"doc_id": "' || s.doc_id || '", "end_idx": ' || s.end_idx || ', "start_idx": ' || s.start_idx || '}}'), ', ') || ']}}') AS batch_hash FROM p""",
+    "token_budget": f"""WITH l(name, share) AS (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in mixture.LANES.items())}), t AS (SELECT name, share, CAST(round({mixture.TOTAL_BUDGET} * share) AS BIGINT) AS tokens FROM l),
+        s(part, name, w) AS (VALUES {", ".join(f"('{p}', '{k}', {v}::DOUBLE)" for p, d in (("general_web", mixture.GENERAL_SUBMIX), ("indic", mixture.INDIC_TIERS), ("math_reasoning", mixture.EFFORT_BANDS), ("agentic", mixture.AGENTIC_SOURCES)) for k, v in d.items())}),
+        w AS (SELECT part, name, w / sum(w) OVER (PARTITION BY part) AS share FROM s)
+        SELECT 'lane' AS part, name, share, tokens FROM t
+        UNION ALL SELECT w.part, w.name, w.share, CAST(round(t.tokens * w.share) AS BIGINT) FROM w JOIN t ON t.name = w.part
+        UNION ALL SELECT 'anneal_reserve', n, {mixture.ANNEAL_RESERVE}::DOUBLE, CAST(round({mixture.ANNEAL_RESERVE} * tokens * f) AS BIGINT) FROM (VALUES ('verified_native', 'indic', {mixture.INDIC_TIERS["verified_native"]}::DOUBLE), ('agentic', 'agentic', 1::DOUBLE), ('high_and_ultra', 'math_reasoning', {mixture.EFFORT_BANDS["high"] + mixture.EFFORT_BANDS["ultra"]}::DOUBLE)) v(n, lane, f) JOIN t ON t.name = v.lane
+        UNION ALL SELECT 'warmup', 'all', {mixture.WARMUP}::DOUBLE, CAST(round({mixture.TOTAL_BUDGET} * {mixture.WARMUP}) AS BIGINT)""",
     "performance": f"""SELECT microbatches, tokens, seconds, CASE WHEN seconds > 0 THEN tokens / seconds END AS tokens_per_second, utilization FROM
         (SELECT count(*) AS microbatches, CAST(sum(coalesce(list_sum(list_transform(token_span_ids, lambda s: s.end_idx - s.start_idx)), 0)) AS BIGINT) AS tokens, epoch(max(recorded_at)) - epoch(min(recorded_at)) AS seconds FROM microbatch_ledger),
         (SELECT sum({_USED}) / sum(len(input_ids)) AS utilization FROM {_PACKED})""",
     "stream_first_copies": "SELECT DISTINCT md5(coalesce(text, '')) AS digest FROM documents",
-    "stream_lane_counts": "SELECT mixture_lane AS lane, CAST(count(*) AS BIGINT) AS served FROM microbatch_ledger GROUP BY mixture_lane",
+    "stream_lane_counts": "SELECT epoch_us(time_bucket(INTERVAL '10 minutes', recorded_at)) AS start, mixture_lane AS lane, CAST(count(*) AS BIGINT) AS served FROM microbatch_ledger WHERE recorded_at IS NOT NULL GROUP BY ALL",
 }

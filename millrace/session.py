@@ -28,12 +28,19 @@ def get_session(app: str = "millrace", master: str | None = None, shuffle_partit
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut, kept in the shared folder named by ``spark.checkpoint.dir``.
 
-    The folder is read from the session. Only where none is set, as in tests on
-    one machine, a temporary folder is used; files there would not survive the
-    loss of a machine, so a cluster must name its own.
+    The folder is read from the session (``shared_folder``).
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get(CHECKPOINT_SETTING, None) or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. A session on one machine that names none, as in tests, gets a temporary one; a cluster must name its own, as files of one machine do not outlive it."""
+    found = spark.conf.get(CHECKPOINT_SETTING, None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that all machines share")
+    return tempfile.mkdtemp(prefix="millrace-")

@@ -88,5 +88,25 @@ def log_contains(spark: SparkSession, path: str, mark: str) -> bool:
     return bool(spark.read.text(path).agg(F.bool_or(F.contains("value", F.lit(mark))).alias("found")).first().found)
 
 
-def qa_pairs(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
-    return spark.createDataFrame(pairs, "question string, answer string")
+def write_decisions(decisions: DataFrame, path: str) -> None:
+    """Selection decisions as JSON lines; a rerun replaces them."""
+    decisions.write.mode("overwrite").json(path)
+
+
+def write_evidence(evidence: DataFrame, performance: DataFrame, folder: str) -> None:
+    """``evidence`` as JSON and as Markdown, both from the same rows, and ``performance`` as JSON, each in a folder of ``folder``."""
+    from millrace.operators.evidence import markdown
+
+    evidence.coalesce(1).write.mode("overwrite").json(f"{folder}/evidence")
+    markdown(evidence.sparkSession.read.schema(evidence.schema).json(f"{folder}/evidence")).coalesce(1).write.mode("overwrite").text(f"{folder}/evidence_md")
+    performance.coalesce(1).write.mode("overwrite").json(f"{folder}/performance")
+
+
+def write_fork(spark: SparkSession, parent: str, child: str, step: int, offset: int, path: str) -> None:
+    """The record of a fork: both branches, the step and the ledger offset it begins after."""
+    spark.createDataFrame([(parent, child, step, offset)], "parent_branch string, child_branch string, fork_step long, ledger_offset long").coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_lists(rows: DataFrame, column: str, kind: str) -> DataFrame:
+    """``rows`` with a column of JSON text read as a list; text that is no such list gives null."""
+    return rows.withColumn(column, F.from_json(column, kind))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from millrace.session import CHECKPOINT_SETTING
-from millrace.sources.sinks import append_ledger
+from millrace.operators.ledger import CONSUMPTION, append_numbered
+from millrace.session import shared_folder
 
 _PROVIDER_SETTING = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -39,19 +38,24 @@ def lane_counts(stream: DataFrame, lane_col: str, time_col: str, window: str = "
 
 
 def append_stream(spark: SparkSession, stream: DataFrame, ledger: str, order: list[str], checkpoint: str) -> StreamingQuery:
-    """Each batch appended to a ledger under ids of its own, once: a batch number that is recorded already is not written again."""
+    """Each batch of a stream appended to a ledger, exactly once.
+
+    A batch has a folder of its own, named by its number, and its ids go on from
+    the batches before it; a batch that comes again after a crash replaces its
+    own rows by the same ones.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        done = f"{checkpoint}/appended/{number}"
         try:
-            spark.read.text(done).limit(1).count()
-            return
-        except Exception as problem:
+            held = spark.read.schema(T.StructType([*CONSUMPTION.fields, T.StructField("batch", T.LongType())])).parquet(ledger).where(F.col("batch") < number)
+            held.limit(1).count()
+        except Exception as problem:  # the first batch finds no folder
             if "PATH_NOT_FOUND" not in str(problem):
                 raise
-        if not batch.isEmpty():
-            append_ledger(spark, batch, ledger, order)
-        spark.createDataFrame([(str(number),)], "value string").coalesce(1).write.mode("overwrite").text(done)
+            held = spark.createDataFrame([], CONSUMPTION)
+        rows = append_numbered(held, batch, order)
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in CONSUMPTION])
+        rows.write.mode("overwrite").parquet(f"{ledger}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -62,8 +66,7 @@ def to_table(frame: DataFrame, name: str) -> DataFrame:
     The state is kept in RocksDB, beside the heap, as it may hold a hash of every text.
     """
     spark = frame.sparkSession
-    shared = spark.conf.get(CHECKPOINT_SETTING, None) or tempfile.mkdtemp(prefix="millrace-streams-")
-    place = f"{shared}/streams/{name}-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_PROVIDER_SETTING)
     spark.conf.set(_PROVIDER_SETTING, _ROCKSDB)
     try:
@@ -75,11 +78,15 @@ def to_table(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(f"{place}/rows")
 
 
-def to_memory(frame: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All available rows of a stream through to a table in memory; for tests and small results."""
-    writer = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    shared = frame.sparkSession.conf.get(CHECKPOINT_SETTING, None)
-    if shared:
-        writer = writer.option("checkpointLocation", f"{shared}/streams/{name}-{uuid.uuid4().hex}")
-    writer.start().awaitTermination()
-    return frame.sparkSession.table(name)
+def counted_table(frame: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """A stream of updated rows through to files in the shared folder: of each of ``keys`` the row of its last batch. The driver holds none of them."""
+    spark = frame.sparkSession
+    place = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/rows/batch={number}")
+
+    frame.writeStream.foreachBatch(write).option("checkpointLocation", f"{place}/checkpoint").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*frame.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{place}/rows")
+    others = [c for c in frame.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in others])

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import batches, evidence, ledger, mixture, packing, selection, shards, tokenizer
+from millrace.operators import batches, evidence, learning, ledger, mixture, packing, selection, shards, tokenizer
 from millrace.sources import sinks
 
 TARGETS = [("code", 0.30), ("reasoning", 0.45), ("indic", 0.10), ("general", 0.15)]
@@ -197,6 +197,149 @@ def test_checkpoints(spark, tmp_path):
     assert missing == ["scheduler_state", "rng_state", "dataloader_state", "ledger_offset"]
 
 
+@pytest.mark.parametrize("policy", packing.POLICIES)
+def test_every_policy_replays(spark, policy):
+    """Documents of many lengths, empty, with and without an end, longer than a sequence; then each kind of tampering."""
+    lengths = [40, 100, 128, 129, 1, 27, 60, 300, 0, 128, 90]
+    rows = [(f"s{k % 2}", k, f"d{k}", [5 + (7 * k + j) % 200 for j in range(n - (k % 3 == 0))] + [3] * (k % 3 == 0 and n > 0)) for k, n in enumerate(lengths)]
+    documents = spark.createDataFrame(rows, "shard_id string, pos int, doc_id string, tokens array<int>")
+    built = batches.build(packing.pack(documents, policy, 128).where(F.size("spans") > 0), F.concat_ws("_", "shard_id", "seq_no"))
+    book = built.withColumn("id", F.monotonically_increasing_id()).select("id", "microbatch_id", F.col("spans").alias("token_span_ids"), "batch_hash").cache()
+    assert {r.status for r in ledger.replay(book, documents, 128, policy).collect()} == {"same"}
+    one = book.where(F.exists("token_span_ids", lambda s: s["end_idx"] - s["start_idx"] > 3)).first()
+    only = lambda b, d: {r.id for r in ledger.replay(b, d, 128, policy).where("status = 'changed'").collect()}
+    assert only(book.withColumn("batch_hash", F.when(F.col("id") == one.id, "0").otherwise(F.col("batch_hash"))), documents) == {one.id}
+    moved = F.transform("token_span_ids", lambda s: s.withField("end_idx", s["end_idx"] - (s["end_idx"] - s["start_idx"] > 3).cast("int")))
+    assert only(book.withColumn("token_span_ids", F.when(F.col("id") == one.id, moved).otherwise(F.col("token_span_ids"))), documents) == {one.id}
+    name = next(s.doc_id for s in one.token_span_ids if s.end_idx - s.start_idx > 3)
+    holders = {r.id for r in book.where(F.exists("token_span_ids", lambda s: (s["doc_id"] == name) & (s["end_idx"] - s["start_idx"] > 3))).collect()}
+    assert only(book, documents.withColumn("tokens", F.when(F.col("doc_id") == name, F.transform("tokens", lambda t: t + 1)).otherwise(F.col("tokens")))) >= holders
+    assert {r.status for r in ledger.replay(book, documents.limit(0), 128, policy).collect()} == {"missing"}
+
+
+def test_attention_rows_are_the_sums_of_the_square_mask(spark):
+    rows = [([5, 6, 7, 8, 9, 0, 0], [("a", 0, 2), ("e", 2, 2), ("b", 2, 5)], p) for p in packing.POLICIES] + [([0, 0], [], "greedy"), ([5], [("a", 0, 1)], "structure-preserving")]
+    df = spark.createDataFrame(rows, "ids array<int>, spans array<struct<doc_id:string,start_idx:int,end_idx:int>>, policy string")
+    ids, spans, policy = F.col("ids"), F.col("spans"), F.col("policy")
+    seg = batches.segments(ids, spans)
+    square = F.transform(batches.attention_mask(ids, seg, policy), lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + x))
+    for r in df.select(square.alias("m"), batches.attended(ids, batches.position_ids(ids, spans), seg, policy).alias("n")).collect():
+        assert r.m == r.n
+
+
+def test_long_schedules_and_many_lanes(spark):
+    lanes = spark.createDataFrame([("f", "s", k, f"l{k}", 1 / 1001) for k in range(1001)], "family string, stage string, pos int, lane string, share double")
+    assert len(mixture.known_stage(lanes, "f", "S")) == 1001
+    two = spark.createDataFrame([("f", "s", 0, "a", 0.75), ("f", "s", 1, "b", 0.25)], "family string, stage string, pos int, lane string, share double")
+    rows = mixture.schedule(two, 30_000).orderBy("step").collect()
+    assert [r.step for r in rows] == list(range(30_000)) and sum(r.lane == "a" for r in rows) == 22_500
+    served = {"a": sum(r.lane == "a" for r in rows[:777]), "b": sum(r.lane == "b" for r in rows[:777])}
+    again = mixture.schedule(two, 100, served=served, first_step=777).orderBy("step").collect()
+    assert [tuple(r) for r in again] == [tuple(r) for r in rows[777:877]]
+
+
+def test_digests_see_every_row(spark):
+    rows = spark.range(1, 9001).select("id", F.concat(F.lit("h"), "id").alias("batch_hash"))
+    whole = ledger.digest(rows, 0, 1 << 62).first().digest
+    assert whole != ledger.digest(rows.where("id <> 4500"), 0, 1 << 62).first().digest and whole == ledger.digest(rows.repartition(7), 1, 9000).first().digest
+    assert ledger.digest(rows, 0, 0).first().digest == "empty"
+
+
+def test_learning_rows(spark):
+    import math
+
+    documents = spark.createDataFrame([([5, 5, 6],), (None,), ([],)], "tokens array<int>")
+    losses = learning.surprises(documents)
+    total = 3 + len(losses)
+    assert abs(losses[5] - math.log(total / 3)) < 1e-12 and abs(losses[9] - math.log(total)) < 1e-12
+    assert learning.average(learning.token_losses([5, -100, 6, 7], [1.0, 0.0, 1.0, 0.0], losses)) == round((losses[5] + losses[6]) / 2, 4)
+    assert learning.average(learning.token_losses([-100], [0.0], losses)) == 0.0 and learning.hard_clusters(learning.token_losses([9] * 300, [1.0] * 300, losses)) == [0, 1]
+    packed = spark.createDataFrame([("s", 0, "greedy", [5, 6, 0], [("d", 0, 2)]), ("s", 1, "greedy", [9, 0, 0], [("e", 0, 1)]), ("s", 2, "greedy", [0, 0, 0], [])], "shard_id string, seq_no int, policy string, input_ids array<int>, spans array<struct<doc_id:string,start_idx:int,end_idx:int>>")
+    rows = learning.learn(packed, spark.createDataFrame([("s", "indic")], "shard_id string, lane string"), documents).orderBy("global_step").collect()
+    assert [r.sample_id for r in rows] == ["d", "e", None] and [r.opus_score for r in rows] == [0.62] * 3 and rows[0].loss_delta == 0.0 and rows[1].loss_delta > 0 and rows[2].avg_token_loss == 0.0
+    assert spark.range(1).select(learning.continued(F.array(F.lit(5)), 3).alias("c")).first().c == [5, 53, 152, 108]
+
+
+def test_learning_ledger_goes_on(spark, tmp_path):
+    path = str(tmp_path / "learning")
+    rows = spark.range(3).select(F.col("id").alias("global_step"), F.lit("s").alias("shard_id"))
+    for _ in range(2):
+        sinks.append_ledger(spark, rows, path, ["global_step"], ledger.LEARNING)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_each_check_of_evidence_can_fail(spark):
+    """A run that keeps a rule, and one that breaks it, for every check."""
+    row = lambda df: (r := df.first()) and r.result
+    text = "code data"
+    tokens = spark.range(1).select(tokenizer.encode(F.lit(text), add_eod=True).alias("t")).first().t
+    docs = lambda t: spark.createDataFrame([("d", text, t)], "doc_id string, text string, tokens array<int>")
+    assert row(evidence.tokenizer_integrity(docs(tokens))) == "PASS" and row(evidence.tokenizer_integrity(docs([*tokens[:-1], 7]))) == "FAIL"
+    span = "array<struct<doc_id:string,start_idx:int,end_idx:int>>"
+    book = lambda *r: spark.createDataFrame(r, f"id long, run_id string, branch_id string, rank int, global_step long, shard_ids array<string>, token_span_ids {span}, mixture_lane string")
+    good = book((1, "r", "b", 0, 1, ["s"], [("d", 0, 2)], "code"), (2, "r", "b", 0, 2, ["s"], [("e", 0, 2)], "code"))
+    rules = spark.createDataFrame([("document", "x"), ("dataset", "y")], "kind string, blocked_id string")
+    assert row(evidence.evaluation_firewall(good, rules)) == "PASS"
+    assert row(evidence.evaluation_firewall(book((1, "r", "b", 0, 1, ["s"], [("x", 0, 2)], "code")), rules)) == "FAIL" and row(evidence.evaluation_firewall(book((1, "r", "b", 0, 1, ["y"], None, "code")), rules)) == "FAIL"
+    manifest = lambda s: spark.createDataFrame([(s,)], "shard_id string")
+    assert row(evidence.manifest_coverage(good, manifest("s"))) == "PASS" and row(evidence.manifest_coverage(good, manifest("t"))) == "FAIL"
+    packed = lambda spans, u=0.75: spark.createDataFrame([([5, 6, 7, 0], spans, u)], f"input_ids array<int>, spans {span}, utilization double")
+    assert row(evidence.packing_correctness(packed([("d", 0, 2), ("e", 2, 3)]))) == "PASS"
+    assert all(row(evidence.packing_correctness(packed(s))) == "FAIL" for s in ([("d", 0, 2)], [("d", 0, 2), ("e", 1, 3)], [("d", 1, 3)], None))
+    assert row(evidence.utilization_recorded(packed([]))) == "PASS" and row(evidence.utilization_recorded(packed([], 0.9))) == "FAIL" and row(evidence.utilization_recorded(packed([], None))) == "FAIL"
+    shares = lambda s: spark.createDataFrame([("indic", s, 0.08)], "lane string, share double, floor double")
+    assert row(evidence.mixture_compliance(shares(0.1))) == "PASS" and row(evidence.mixture_compliance(shares(0.01))) == "FAIL" and row(evidence.mixture_compliance(shares(0.1).limit(0))) == "FAIL"
+    asked = spark.createDataFrame([("a",), ("b",)], "candidate_id string")
+    told = lambda *r: spark.createDataFrame(r, "candidate_id string, reason string, score double")
+    assert row(evidence.selection_audit_trail(asked, told(("a", "quality_above_threshold", 0.9), ("b", "low_quality_score", 0.1)))) == "PASS"
+    for wrong in (told(("a", "quality_above_threshold", 0.9)), told(("a", "quality_above_threshold", 0.2), ("b", "low_quality_score", 0.1)), told(("a", "quota_pressure", 0.9), ("b", None, 0.1)), told(("a", "quota_pressure", 0.9), ("a", "quota_pressure", 0.9), ("b", "quota_pressure", 0.9))):
+        assert row(evidence.selection_audit_trail(asked, wrong)) == "FAIL"
+    assert row(evidence.crash_recovery(good)) == "PASS" and row(evidence.crash_recovery(good.where("id = 1").union(good.where("id = 1")))) == "FAIL"
+    assert row(evidence.crash_recovery(good.withColumn("global_step", F.col("global_step") * 2))) == "FAIL"
+    shards_ = lambda lane: spark.createDataFrame([("s", lane, "2025-01-01")], "shard_id string, capability_lane string, ingested_at string")
+    assert row(evidence.lanes_agree(good, shards_("code"), lambda c: c)) == "PASS" and row(evidence.lanes_agree(good, shards_("indic"), lambda c: c)) == "FAIL"
+    learned = lambda *steps: spark.createDataFrame([(s,) for s in steps], "global_step long")
+    assert row(evidence.learning_trace(good, learned(1, 2))) == "PASS" and row(evidence.learning_trace(good, learned(1))) == "FAIL"
+    both = evidence.bundle([evidence.crash_recovery(good), evidence.learning_trace(good, learned(1))])
+    assert {r.requirement: r.result for r in both.collect()} == {"crash_recovery": "PASS", "learning_trace": "FAIL"}
+
+
+def test_sinks_write_what_they_are_given(spark, tmp_path):
+    evidence_ = spark.createDataFrame([("replay", "PASS", "same=1")], "requirement string, result string, evidence string")
+    sinks.write_evidence(evidence_, spark.createDataFrame([(3, 0.9)], "microbatches long, utilization double"), str(tmp_path))
+    assert spark.read.json(str(tmp_path / "evidence")).first().result == "PASS" and "| Replay | PASS | same=1 |" in [r.value for r in spark.read.text(str(tmp_path / "evidence_md")).collect()]
+    assert spark.read.json(str(tmp_path / "performance")).first().microbatches == 3
+    sinks.write_fork(spark, "br_main", "br_b", 7, 11, str(tmp_path / "fork"))
+    assert spark.read.json(str(tmp_path / "fork")).first().asDict() == {"parent_branch": "br_main", "child_branch": "br_b", "fork_step": 7, "ledger_offset": 11}
+    sinks.write_decisions(spark.createDataFrame([("a", "accepted")], "candidate_id string, status string"), str(tmp_path / "decisions"))
+    assert spark.read.json(str(tmp_path / "decisions")).count() == 1
+    lists = spark.createDataFrame([("[1, 2]",), ("no",), (None,)], "v string")
+    assert [r.v for r in sinks.read_lists(lists, "v", "array<int>").collect()] == [[1, 2], None, None]
+    sinks.write_manifests(spark.createDataFrame([("s", ["d"])], "shard_id string, document_ids array<string>"), str(tmp_path / "manifests"))
+    assert sinks.read_manifests(spark, str(tmp_path / "manifests"), spark.createDataFrame([], "shard_id string, document_ids array<string>").schema).first().document_ids == ["d"]
+    spark.createDataFrame([("step 3 resumed",), ("end",)], "value string").write.text(str(tmp_path / "log"))
+    assert sinks.log_contains(spark, str(tmp_path / "log"), "resumed") and not sinks.log_contains(spark, str(tmp_path / "log"), "forked")
+
+
+def test_a_cluster_must_name_its_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from millrace.session import shared_folder
+
+    held = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(held)
+
+
+def test_queries_without_sql_are_named_in_the_readme():
+    import os
+
+    from millrace.plans import catalogue
+
+    text = open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "README.md")).read()
+    assert not [n for n in catalogue.queries() if n not in catalogue.oracle_sql() and f"`{n}`" not in text]
+
+
 def test_markdown_comes_from_the_rows(spark):
     rows = spark.createDataFrame([("replay", "PASS", "same=1"), ("tokenizer_integrity", "FAIL", "x")], "requirement string, result string, evidence string")
     assert evidence.markdown(rows).first().markdown.splitlines()[2:] == ["| Replay | PASS | same=1 |", "| Tokenizer integrity | FAIL | x |"]
