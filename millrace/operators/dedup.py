@@ -23,13 +23,19 @@ PERMUTATIONS, THRESHOLD = 128, 0.8
 # Share of pairs at the threshold that the buckets of a confirmed search may miss.
 MISSED = 1e-4
 _PRIME = (1 << 61) - 1
+_WORD = r"[\p{L}\p{N}_]"
+#: A text of more copies than this is joined by broadcast.
+HOT = 200_000
 
 
 def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``class_id`` (the least id of the same text) and ``copies`` of each row with an id; null texts are copies of each other."""
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.sha2(F.coalesce(F.concat(F.lit("t"), F.col(text_col)), F.lit("n")), 256).alias("_h"))
-    sums = rows.groupBy("_h").agg(F.min(id_col).alias("class_id"), F.count("*").alias("copies"))
-    return rows.join(sums, "_h").select(id_col, "class_id", "copies")
+    sums = checkpointed(rows.groupBy("_h").agg(F.min(id_col).alias("class_id"), F.count("*").alias("copies")))
+    # There are at most (rows / HOT) such texts, so they may go to every task; the others make no hot task.
+    hot = F.broadcast(sums.where(F.col("copies") > HOT))
+    rest = rows.join(hot.select("_h"), "_h", "left_anti").join(sums.where(F.col("copies") <= HOT), "_h")
+    return rows.join(hot, "_h").unionByName(rest).select(id_col, "class_id", "copies")
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,7 +55,7 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
 def _hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id_col`` and ``h`` (the hashes of the shingles) of the rows that have any."""
     # A text has shingles if it has a word; asked of the shingles, the condition would have them made twice.
-    return df.where(F.lower(F.col(text_col)).rlike(r"[\p{L}\p{N}_]")).select(F.col(id_col), F.transform(shingles(F.col(text_col)), lambda s: F.xxhash64(s)).alias("h"))
+    return df.where(F.lower(F.col(text_col)).rlike(_WORD)).select(F.col(id_col), F.transform(shingles(F.col(text_col)), lambda s: F.xxhash64(s)).alias("h"))
 
 
 def _signed(hashed: DataFrame, permutations: int, seed: int = 1) -> DataFrame:
@@ -113,7 +119,7 @@ def _keys(bands: int, rows: int) -> Column:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, bands: tuple[int, int] | None = None) -> DataFrame:
-    """``id_col``, ``kept``, ``class_id`` of each row with shingles.
+    """``id_col``, ``kept``, ``class_id`` of each row with an id; a row without shingles is like no other and kept.
 
     In the order of ids, a row is kept unless a kept row before it has a Jaccard
     similarity of ``threshold`` or more over the shingles; ``class_id`` is the
@@ -171,7 +177,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         told = settled.join(least, id_col, "left").select(id_col, "kept", F.coalesce("_least", "owner").alias("owner"))
         alone = told.unionByName(alone.join(settled.select(id_col), id_col, "left_anti"))
     of_first = alone.select(F.col(id_col).alias("_first"), "kept", "owner")
-    return twins.join(of_first, "_first").select(id_col, (F.col("kept") & (F.col(id_col) == F.col("_first"))).alias("kept"), F.col("owner").alias("class_id"))
+    told = twins.join(of_first, "_first").select(id_col, (F.col("kept") & (F.col(id_col) == F.col("_first"))).alias("kept"), F.col("owner").alias("class_id"))
+    bare = df.where(F.col(id_col).isNotNull() & ~F.coalesce(F.lower(F.col(text_col)).rlike(_WORD), F.lit(False))).select(id_col, F.lit(True).alias("kept"), F.col(id_col).alias("class_id"))
+    return told.unionByName(bare)
 
 
 def bucket_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, bands: tuple[int, int] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import dedup, funnel
 from millrace.plans import curation
@@ -39,8 +40,9 @@ def test_near_duplicates_match_greedy_order(spark):
         want[i] = (owner is None, owner or i)
         if owner is None:
             kept.append(i)
-    assert got == want
-    assert got[2] == (False, 1) and got[4] == (True, 4) and 5 not in got and 6 not in got
+    # Rows without shingles are like no other.
+    assert got == want | {5: (True, 5), 6: (True, 6)}
+    assert got[2] == (False, 1) and got[4] == (True, 4)
 
 
 def test_near_duplicates_are_those_of_all_pairs(spark):
@@ -106,3 +108,47 @@ def test_domain_of_the_whole_text(spark, tmp_path):
     docs(spark, [(1, "plain words " * 100 + "theorem"), (2, "plain words")]).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.domain for r in curation.domain_tag_whole(spark, str(tmp_path)).collect()}
     assert got == {1: "D2 Code and Mathematics", 2: "D3 General Web"}
+
+
+def test_rows_without_shingles_are_kept(spark):
+    got = {r.doc_id: (r.kept, r.class_id) for r in dedup.near_duplicates(docs(spark, [(1, None), (2, ""), (3, "..."), (4, "a b c d e f"), (5, "a b c d e f")])).collect()}
+    assert got == {1: (True, 1), 2: (True, 2), 3: (True, 3), 4: (True, 4), 5: (False, 4)}
+
+
+def test_hot_texts_are_classed_alike(spark, monkeypatch):
+    rows = docs(spark, [(k, None if k % 2 else f"t{k % 8}") for k in range(40)])
+    plain = sorted(map(tuple, dedup.exact_classes(rows).collect()))
+    monkeypatch.setattr(dedup, "HOT", 6)
+    assert sorted(map(tuple, dedup.exact_classes(rows).collect())) == plain and len(plain) == 40
+
+
+def test_wrong_decoding_is_repaired(spark):
+    from millrace.functions import normalize
+
+    for text in ("naïve café – “so”", "नमस्ते", "plain", "à la carte, déjà vu", "¿Qué?", "100 €"):
+        wrong = text.encode().decode("cp1252", "ignore") if text != "नमस्ते" else text.encode().decode("latin-1")
+        assert normalize.repair(text) == text
+        if all(b not in text.encode() for b in (0x81, 0x8D, 0x8F, 0x90, 0x9D)):
+            assert normalize.repair(wrong) == text and normalize.repair(wrong.encode().decode("cp1252", "ignore")) in (text, wrong.encode().decode("cp1252", "ignore"))
+    assert spark.createDataFrame([("cafÃ©",)], "t string").select(normalize.normalize(F.col("t")).alias("n")).first().n == "café"
+
+
+def test_a_labeller_takes_the_place_of_the_rules(spark):
+    from millrace.functions import scoring
+
+    scoring.register_labeller("test", lambda t: F.when(F.contains(t, F.lit("poem")), F.struct(F.lit("D2 Literature (novels)").alias("label"), F.lit(0.9).alias("score"))))
+    rows = spark.createDataFrame([("a poem",), ("def f",), (None,)], "t string")
+    assert [r.d.domain for r in rows.select(scoring.domain_of(F.col("t"), "test").alias("d")).collect()] == ["D2 Literature", "D2 Code and Mathematics", "D3 General Web"]
+    with pytest.raises(ValueError):
+        scoring.domain_of(F.col("t"), "other")
+
+
+def test_the_command_lists_and_runs(spark, tmp_path, capsys):
+    from millrace import __main__ as command
+
+    assert command.main([]) == 0 and "exact_dedup" in capsys.readouterr().out
+    spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert command.main(["exact_dedup", "--folder", str(tmp_path), "--out", str(tmp_path / "out")]) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2 and '"event": "ended"' in capsys.readouterr().err
+    with pytest.raises(SystemExit):
+        command.main(["no_such_query"])
