@@ -26,9 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import checkpointed
 from millrace.sources.tables import spread
 
 CAPACITY, OPEN_BINS, PAD = 2048, 512, 0
+#: So many hashes of repeated rows (8 bytes each) may be broadcast.
+REPEATED_MOST = 2_000_000
 
 SPAN = T.StructType(
     [
@@ -102,15 +105,20 @@ def pack(df: DataFrame, keys: list[str] = ("shard_id", "pos", "doc_id"), id_col:
 
     Only hashes of the rows are brought together: a row whose hash no other has
     stays where it was read, and of the others the distinct ones are taken.
-    Bins are filled within the partitions of the scan.
+    Bins are filled within the partitions of the scan. Repeated hashes go to
+    all tasks if there are at most ``REPEATED_MOST``; if there are more, whole
+    rows are brought together instead, with the same distinct rows.
     """
     keys = list(dict.fromkeys([*keys, id_col]))
     rows = spread(df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{tokens_col}`").alias("_tokens"))).where(F.size("_tokens") > 0)
     rows = rows.withColumn("_hash", F.xxhash64(*[F.col(f"`{k}`") for k in keys], "_tokens"))
-    shared = rows.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash")
-    # A hash that two different rows share does no harm: rows are compared whole here.
-    several = rows.join(shared, "_hash", "left_semi").distinct()
-    rows = rows.join(shared, "_hash", "left_anti").unionByName(several)
+    shared = checkpointed(rows.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash"))
+    if shared.count() <= REPEATED_MOST:
+        # A hash that two different rows share does no harm: rows are compared whole here.
+        several = rows.join(F.broadcast(shared), "_hash", "left_semi").distinct()
+        rows = rows.join(F.broadcast(shared), "_hash", "left_anti").unionByName(several)
+    else:
+        rows = rows.distinct()
     rows = rows.select(F.col(f"`{id_col}`").cast("string").alias("_id"), F.size("_tokens").alias("_n"), *(["_tokens"] if with_ids else []))
 
     out = [

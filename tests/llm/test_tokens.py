@@ -306,6 +306,8 @@ def test_rows_whose_hash_is_shared_are_compared_whole(spark, monkeypatch):
     df = spark.createDataFrame(rows, "shard_id string, pos int, doc_id string, tokens array<int>")
     monkeypatch.setattr(packing.F, "xxhash64", lambda *columns: packing.F.lit(1))
     assert sum(len(r.spans) for r in packing.pack(df).collect()) == 3
+    monkeypatch.setattr(packing, "REPEATED_MOST", 0)
+    assert sum(len(r.spans) for r in packing.pack(df).collect()) == 3
 
 
 def test_patterns_that_join_words_and_spaces_are_applied_whole(own):
