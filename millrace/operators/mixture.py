@@ -98,15 +98,16 @@ def sample_batch(members: DataFrame, stage_lanes: DataFrame, family: str, stage:
     spark = members.sparkSession
     total = sum(r.share for r in lanes)
     wanted = spark.createDataFrame([(r.lane, max(1, int(batch * r.share / total))) for r in lanes], "lane string, want int")
-    keyed = members.where(F.col("item_id").isNotNull()).select("lane", "item_id", F.pmod(F.xxhash64("item_id"), F.lit(256)).alias("chunk"))
+    keyed = members.where(F.col("item_id").isNotNull()).select("lane", "item_id", F.substring(F.md5("item_id"), 1, 2).alias("chunk"))
     sizes = keyed.groupBy("lane", "chunk").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("lane").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbered = keyed.withColumn("k", F.row_number().over(Window.partitionBy("lane", "chunk").orderBy("item_id")) - 1).join(before, ["lane", "chunk"]).select("lane", "item_id", (F.col("before") + F.col("k")).alias("number"))
     counts = sizes.groupBy("lane").agg(F.sum("n").alias("size"))
     draws = wanted.join(counts, "lane").select("lane", "size", F.explode(F.sequence(F.lit(1), F.least("want", F.col("size").cast("int")))).alias("draw"))
-    draws = draws.withColumn("number", F.pmod(F.xxhash64(F.lit(seed), "lane", "draw"), F.col("size")))
-    drawn = draws.join(numbered, ["lane", "number"]).select("lane", "draw", "item_id")
-    return drawn.orderBy(F.xxhash64(F.lit(seed), "lane", "draw"), "lane", "draw").limit(batch)
+    draws = draws.withColumn("order", F.md5(F.concat_ws("|", F.lit(seed), "lane", "draw")))
+    draws = draws.withColumn("number", F.pmod(F.conv(F.substring("order", 1, 15), 16, 10).cast("long"), F.col("size")))
+    drawn = draws.join(numbered, ["lane", "number"]).select("lane", "draw", "item_id", "order")
+    return drawn.orderBy("order", "lane", "draw").limit(batch).drop("order")
 
 
 def served_shares(served: DataFrame, by: list[str], lane: str = "lane") -> DataFrame:

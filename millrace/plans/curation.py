@@ -135,8 +135,8 @@ _SCORE = f"""CASE WHEN n < 20 THEN 0.10::DOUBLE ELSE least(1.0::DOUBLE, 0.30::DO
     + 0.30::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (list_sum(list_transform(w, lambda x: length(x))) / n - 3.5::DOUBLE) / 3.0::DOUBLE))) END"""
 
 
-def _domain(column: str, what: int) -> str:
-    head = f"lower(substring({column}, 1, {X.DOMAIN_CHARS}))"
+def _domain(column: str, what: int, chars: int | None = X.DOMAIN_CHARS) -> str:
+    head = f"lower(substring({column}, 1, {chars}))" if chars else f"lower({column})"
     cases = " ".join("WHEN " + " OR ".join(f"contains({head}, {_q(m)})" for m in marks) + f" THEN {_q(name) if what == 0 else f'{sure}::DOUBLE'}" for name, sure, marks in X.DOMAIN_RULES)
     return f"CASE {cases} ELSE {_q(X.DEFAULT_DOMAIN[0]) if what == 0 else f'{X.DEFAULT_DOMAIN[1]}::DOUBLE'} END"
 
@@ -162,6 +162,7 @@ ORACLES = {
     "normalize_space": f"SELECT doc_id, md5({_CLEAN}) AS digest FROM documents",
     "heuristic_tests": f"WITH p AS ({_PREPARED}), q AS (SELECT doc_id, n, {_TESTS} FROM p) SELECT doc_id, min_words, max_words, alpha, punctuation, digits, uppercase, diversity, sentence_length, (min_words AND max_words AND alpha AND punctuation) AS passes_heuristics, (n > 0 AND digits AND uppercase AND diversity AND sentence_length) AS passes_task_filter FROM q",
     "edu_score": f"SELECT doc_id, round({_SCORE}, 9) AS score FROM ({_PREPARED})",
+    "domain_tag_whole": f"SELECT doc_id, {_domain(_TEXT, 0, None)} AS domain, {_domain(_TEXT, 1, None)} AS confidence FROM documents",
     "domain_tag": f"SELECT doc_id, {_domain(_TEXT, 0)} AS domain, {_domain(_TEXT, 1)} AS confidence FROM documents",
     "redact": f"SELECT doc_id, md5({_REDACT.format(_CLEAN)}) AS digest FROM documents",
     "shingle_counts": rf"""SELECT doc_id, CASE WHEN len(w) < 5 THEN len(list_distinct(w)) ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) END AS shingles

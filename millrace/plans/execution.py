@@ -95,6 +95,11 @@ def synthetic_shards(spark, folder):
     return shards.synthetic_shards(spark)
 
 
+def synthetic_texts(spark, folder):
+    """The synthetic shards' documents without their ids of tokens."""
+    return shards.synthetic_shards(spark).drop("tokens")
+
+
 def shard_token_totals(spark, folder):
     return _tokens(spark, folder).distinct().groupBy("shard_id").agg(F.count("*").alias("documents"), F.sum(F.size("tokens")).cast("long").alias("tokens"))
 
@@ -317,7 +322,7 @@ QUERIES = {
     for f in (
         stage_ratios, token_allocations, target_quotas, lane_schedule, sample_batch, token_budget, served_shares, floor_report,
         tokenizer_encode, tokenizer_round_trip,
-        synthetic_shards, shard_token_totals, shard_hashes, shard_manifests, admission_gate, firewall_audit,
+        synthetic_shards, synthetic_texts, shard_token_totals, shard_hashes, shard_manifests, admission_gate, firewall_audit,
         selection_decisions, rejection_rates,
         pack_pad_only, pack_concat_chop, pack_greedy, pack_best_fit, pack_structure_preserving, packing_utilization, microbatches, batch_hashes, attention_pairs,
         ledger_range, ledger_at_step, ledger_max_offset, ledger_latest_steps, ledger_counts, ledger_step_gaps, ledger_forks, branch_history, ledger_digest, ledger_digest_whole, lane_agreement, replay, training_run,
@@ -395,6 +400,21 @@ ORACLES = {
         SELECT shard_id, CAST(s AS INTEGER) AS seq_no, md5(array_to_string(list_resize(ids, 2048, 0), ',')) AS digest, spans, sample_ids, CAST(2048 - len(ids) AS BIGINT) AS padding_count FROM q JOIN v USING (shard_id, s)""",
     "pack_greedy": f"WITH RECURSIVE {_DOCS.format('tokens[1:2048]')}, {_FIT} {_FIT_OUT}",
     "pack_structure_preserving": f"WITH RECURSIVE {_DOCS.replace(_ONCE, _ENDED.format(_ONCE)).format(_EOD)}, {_FIT} {_FIT_OUT}",
+    "pack_best_fit": f"""WITH RECURSIVE {_DOCS.format('tokens[1:2048]')},
+        placed AS (SELECT DISTINCT shard_id, 0::BIGINT AS k, []::BIGINT[] AS rooms, -1::BIGINT AS seq FROM docs
+          UNION ALL SELECT shard_id, k, CASE WHEN m IS NULL THEN list_append(rooms, 2048 - n) ELSE list_transform(rooms, lambda r, i: CASE WHEN i = list_position(rooms, m) THEN r - n ELSE r END) END,
+            CASE WHEN m IS NULL THEN len(rooms) ELSE list_position(rooms, m) - 1 END
+          FROM (SELECT d.shard_id, d.k, d.n, p.rooms, list_min(list_filter(p.rooms, lambda r: r >= d.n)) AS m FROM placed p JOIN docs d ON d.shard_id = p.shard_id AND d.k = p.k + 1))
+        {_FIT_OUT.replace(" HAVING sum(len(ids)) > 0", "").replace("USING (shard_id, k, doc_id)", "USING (shard_id, k)")}""",
+    "sample_batch": f"""WITH lanes AS (SELECT lane, greatest(1, CAST(floor(256 * share / sum(share) OVER ()) AS BIGINT)) AS want FROM stage_lanes WHERE family = 'curriculum' AND stage = 'seed'),
+        items AS (SELECT lane, item_id, row_number() OVER (PARTITION BY lane ORDER BY substr(md5(item_id), 1, 2), item_id) - 1 AS number, count(*) OVER (PARTITION BY lane) AS size FROM (SELECT {_LANE.format("capability_lane")} AS lane, shard_id AS item_id FROM {_SHARDS})),
+        draws AS (SELECT lane, size, unnest(range(1, least(want, size) + 1)) AS draw FROM lanes JOIN (SELECT DISTINCT lane, size FROM items) USING (lane)),
+        told AS (SELECT *, md5('42|' || lane || '|' || draw) AS h FROM draws)
+        SELECT lane, CAST(draw AS INTEGER) AS draw, item_id FROM (SELECT lane, draw, h, ('0x' || substr(h, 1, 15))::BIGINT % size AS number FROM told) JOIN items USING (lane, number) ORDER BY h, lane, draw LIMIT 256""",
+    "synthetic_texts": f"""WITH l(i, lane, script, tier) AS (VALUES {", ".join(f"({i}, '{a}', '{b}', '{c}')" for i, (a, b, c) in enumerate(shards.SYNTHETIC_LANES))})
+        SELECT 'shard_' || lpad(s::VARCHAR, 4, '0') AS shard_id, CAST(d AS INTEGER) AS pos, 'doc_shard_' || lpad(s::VARCHAR, 4, '0') || '_' || lpad(d::VARCHAR, 2, '0') AS doc_id,
+            'Synthetic training text for shard_' || lpad(s::VARCHAR, 4, '0') || ' document ' || d || ' in lane ' || lane || '. Standard content with detailed logic patterns.' AS text, lane AS capability_lane, script AS language_script, tier AS license_provenance_tier
+        FROM range(1, 25) x(s), range(1, 6) y(d) JOIN l ON i = (s - 1) % {len(shards.SYNTHETIC_LANES)}""",
     "packing_utilization": f"SELECT policy, count(*) AS sequences, CAST(sum({_USED}) AS BIGINT) AS used, sum({_USED}) / sum(len(input_ids)) AS utilization FROM {_PACKED} GROUP BY policy",
     "microbatches": f"""SELECT shard_id, seq_no, policy, CAST(list_sum(list_transform(input_ids, lambda t: CASE WHEN t = 0 THEN -100 ELSE t END)) AS BIGINT) AS labels,
         CAST(coalesce(list_sum(list_transform(spans, lambda s: (s.end_idx - s.start_idx) * (s.end_idx - s.start_idx - 1) // 2)), 0) AS BIGINT) AS positions,
