@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.text import once
+
 # ---- fixed values ---------------------------------------------------------
 VERSION = "v5.0.0-bpe-frozen"
 SPECIAL = {"<PAD>": 0, "<BOS>": 1, "<EOS>": 2, "<EOD>": 3, "<UNK>": 4}
@@ -84,5 +86,6 @@ def decode(ids: Column) -> Column:
     table = F.array(*[F.lit(vocabulary()[i].hex()) for i in sorted(vocabulary())])
     parts = F.transform(F.filter(ids, lambda i: (i >= FIRST_BYTE) & (i < FIRST_BYTE + len(vocabulary()))), lambda i: F.get(table, i - FIRST_BYTE))
     raw = F.unhex(F.array_join(parts, ""))
-    valid = F.is_valid_utf8(raw.cast("string"))
-    return F.when(valid, raw.cast("string")).otherwise(_decode_loosely(F.when(~valid, raw)))
+    # Bound once: the bytes are joined a second time only where they are no UTF-8.
+    text = once(raw, lambda r: F.try_validate_utf8(r.cast("string")))
+    return F.coalesce(text, _decode_loosely(F.when(text.isNull(), raw)))
