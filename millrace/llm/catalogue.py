@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.llm import bpe, language, leakage, mixing, packing, personal, quality, splitting, subjects
 from millrace.sources.tables import read_table
@@ -125,9 +124,7 @@ ORACLES = {
              once AS (SELECT *, row_number() OVER (PARTITION BY run_id, branch_id, global_step, rank ORDER BY id DESC) AS k FROM steps),
              tokens AS (SELECT stage, lane, CAST(sum(n) AS BIGINT) AS recorded_tokens FROM once WHERE k = 1 GROUP BY stage, lane)
         SELECT stage, lane, recorded_tokens, recorded_tokens / sum(recorded_tokens) OVER (PARTITION BY stage) AS recorded_share FROM tokens""",
-    "p5_gain": None,
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

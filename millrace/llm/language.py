@@ -55,7 +55,6 @@ REMEMBERED = 300_000
 
 _MARKS = quality._MARKS
 _TOKEN = re.compile(rf"<[^<>]+>|\S+@\S+|https?://\S+|[^\W\d_](?:[{_MARKS}]|[^\W\d_])*|[\n.!?।॥:|;]+")
-_HAS_LETTER = re.compile(r"[^\W\d_]")
 
 
 def label_of(column: Column) -> Column:
