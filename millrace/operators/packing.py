@@ -11,24 +11,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.operators.tokenizer import EOD, PAD
 
 LENGTH = 512
 POLICIES = ("pad-only", "concat-chop", "greedy", "best-fit", "structure-preserving")
 
-PLAN = T.StructType(
-    [
-        T.StructField("shard_id", T.StringType()),
-        T.StructField("seq_no", T.IntegerType()),
-        T.StructField("k", T.IntegerType()),
-        T.StructField("pos", T.IntegerType()),
-        T.StructField("start_idx", T.IntegerType()),
-        T.StructField("take", T.IntegerType()),
-    ]
-)
-
 
 def _next_fit(lengths: list[int], length: int) -> list[tuple[int, int]]:
     """(sequence, start) of each document: a new sequence begins when one does not fit the current."""
